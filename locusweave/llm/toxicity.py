@@ -196,7 +196,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_classifier(rows: list[tuple[np.ndarray, list[bool], int]], target: np.ndarray, weight: np.ndarray, l1: float = 2e-4, rounds: int = 400) -> Classifier:
+def fit_classifier(rows: list[tuple[np.ndarray, list[bool], int]], target: np.ndarray, weight: np.ndarray, l1: float = 1e-4, rounds: int = 400) -> Classifier:
     """Logistic regression on word presence and soft targets, by proximal gradient steps with momentum (L1)."""
     size = np.array([len(r[0]) for r in rows])
     flat, owner = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows)), size)
