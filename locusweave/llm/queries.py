@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from locusweave.llm import bpe_count, decontaminate, langid, packing, simhash, toxicity, url_filter
+from locusweave.llm import bpe_count, decontaminate, langid, packing, quantized_search, simhash, toxicity, url_filter
 from locusweave.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quantized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantized_search.nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_packing, op6_language, op7_simhash, op8_token_counts, op9_decontaminate, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quantized_search, op2_toxicity, op4_packing, op6_language, op7_simhash, op8_token_counts, op9_decontaminate, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.llm.common import map_arrow, materialize
+from locusweave.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Members from which a shard is dealt again.
@@ -144,28 +145,6 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return map_arrow(shards.select("fps"), "a long, b long", make).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long). Returns node, root: the least node that can be reached, for each node that has an edge.
-
-    Large-star and small-star steps in turn, until the edges stay as they are; a node's edges meet in one group only
-    as (neighbour) numbers, and every step keeps at most as many edges as there were."""
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(small_least, "u")
-        new = star.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(new, "star")
-        same = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        old = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if same == old:
-            break
-        e = new
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
     fps = materialize(fingerprints(docs, shingle), "fps")
