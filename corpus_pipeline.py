@@ -9,10 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusweave.llm import decontaminate, simhash
+from locusweave.llm import decontaminate, langid, line_dedup, packing, simhash
 from locusweave.llm.common import materialize, table
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents whose language is rejected go."""
+    return langid.keep_identified(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: of each class of near-equal lines the first stays; documents left without a line go."""
+    return line_dedup.dedup(docs)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: of each component the document with the smallest doc_id stays."""
     return simhash.dedup(docs)
@@ -23,7 +33,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("simhash_dedup", near_dedup_stage), ("decontamination", decontamination_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the pieces of all documents and their places in sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_dedup_stage),
+    ("simhash_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 #: No SQL for the trained language model, the fingerprints' XXH64 and the tokenizer: tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None

@@ -7,8 +7,8 @@ probes the segments of its own and the shorter lengths at the starts where an al
 them (the multi-match-aware windows). What meets is verified by Hyyro's banded bit-parallel edit distance.
 Of each class of linked lines the first occurrence (least doc_id, then position) stays.
 
-Lines whose segments meet very many others (more than HOT for one key) are joined by pairs of segments instead: of
-2 * (THRESHOLD + 1) segments at least THRESHOLD + 2 are unchanged, so one of the pairs of neighbours in order is.
+Lines with a segment that more than HOT lines share are joined by pairs of segments instead: of THRESHOLD + 2
+segments at least two are unchanged. Both ways find every pair, so none is lost between them.
 
 Defined results: null and empty texts have no lines; blank lines are always kept; rows that repeat a doc_id are one
 document; texts of one very long line are lines like any other; an empty table gives no rows; other columns stay.
@@ -16,13 +16,15 @@ document; texts of one very long line are lines like any other; an empty table g
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusweave.llm.common import materialize
 from locusweave.llm.graph import components
 
-THRESHOLD, SHORT = 2, 20
+THRESHOLD, SHORT, HOT = 2, 20, 256
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -44,28 +46,32 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return (i - 1) * base + longer + 1, size
 
 
-def index_keys(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """id, key: each line's segments."""
-    keys = []
-    for i in range(1, threshold + 2):
-        start, size = _segment(F.col("len"), i, threshold + 1)
-        keys.append(F.xxhash64("len", F.lit(i), F.substring("norm", start, size)))
+def index_keys(lines: DataFrame, threshold: int = THRESHOLD, matched: int = 1) -> DataFrame:
+    """id, key: of each line's threshold + matched segments every choice of `matched`."""
+    parts, keys = threshold + matched, []
+    for chosen in combinations(range(1, parts + 1), matched):
+        held = [_segment(F.col("len"), i, parts) for i in chosen]
+        keys.append(F.xxhash64("len", *(F.lit(i) for i in chosen), *(F.substring("norm", start, size) for start, size in held)))
     return lines.select("id", F.explode(F.array(*keys)).alias("key"))
 
 
-def probe_keys(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """id, key, gap: the substrings that may be a segment of a line shorter by gap."""
-    keys = []
+def probe_keys(lines: DataFrame, threshold: int = THRESHOLD, matched: int = 1) -> DataFrame:
+    """id, key: the substrings that may be the chosen segments of a line as long or shorter. Segments may be shifted so
+    far that the edits before, between and after them still number at most the threshold."""
+    parts, keys = threshold + matched, []
     for gap in range(threshold + 1):
         other = F.col("len") - gap
-        for i in range(1, threshold + 2):
-            start, size = _segment(other, i, threshold + 1)
-            low = max(-(i - 1), gap - (threshold + 1 - i))
-            high = min(i - 1, gap + (threshold + 1 - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= F.col("len"))
-                keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substring("norm", at, size))))
+        for chosen in combinations(range(1, parts + 1), matched):
+            for shifts in product(range(-threshold, threshold + 1), repeat=matched):
+                steps = [shifts[0], *(q - p for p, q in pairwise(shifts)), gap - shifts[-1]]
+                if sum(map(abs, steps)) > threshold or matched == 1 and (abs(steps[0]) > chosen[0] - 1 or abs(steps[1]) > parts - chosen[0]):
+                    continue
+                fits, texts = F.lit(True), []
+                for i, shift in zip(chosen, shifts, strict=True):
+                    start, size = _segment(other, i, parts)
+                    fits &= (start + shift >= 1) & (start + shift + size - 1 <= F.col("len"))
+                    texts.append(F.substring("norm", start + shift, size))
+                keys.append(F.when(fits, F.xxhash64(other, *(F.lit(i) for i in chosen), *texts)))
     return lines.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
 
 
@@ -108,12 +114,22 @@ def _bit(value: Column, place: Column) -> Column:
     return F.call_function("getbit", value, place).cast("int")
 
 
+def _meet(index: DataFrame, probe: DataFrame) -> DataFrame:
+    met = probe.withColumnRenamed("id", "b").join(index.withColumnRenamed("id", "a").hint("shuffle_hash"), "key").where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def links(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
     """lines: id, norm, len. Returns a, b: the ids of unlike lines within the threshold."""
     long = lines.where(F.col("len") >= short)
-    index = index_keys(long, threshold).withColumnRenamed("id", "a")
-    probe = probe_keys(long, threshold).withColumnRenamed("id", "b")
-    met = probe.join(index.hint("shuffle_hash"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    index, probe = index_keys(long, threshold), probe_keys(long, threshold)
+    hot = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    if hot.isEmpty():
+        met = _meet(index, probe)
+    else:
+        again = long.join(index.unionByName(probe).join(hot, "key", "left_semi").select("id").distinct(), "id", "left_semi")
+        met = _meet(index.join(hot, "key", "left_anti"), probe).unionByName(_meet(index_keys(again, threshold, 2), probe_keys(again, threshold, 2)))
+    met = met.distinct()
     left = long.select(F.col("id").alias("a"), F.col("norm").alias("s"), F.col("len").alias("m"))
     right = long.select(F.col("id").alias("b"), F.col("norm").alias("t"), F.col("len").alias("n"))
     pairs = met.join(left, "a").join(right, "b").where(F.abs(F.col("m") - F.col("n")) <= threshold)
@@ -136,10 +152,9 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, short: int = SHOR
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (positions, comma-joined): one row per row of docs."""
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    counted = counted.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
+    counted = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     found = counted.join(removed_lines(docs), "doc_id", "left")
-    return found.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
+    return found.select("doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from locusweave.llm import bpe_count, decontaminate, langid, packing, quantized_search, simhash, toxicity, url_filter
+from locusweave.llm import bpe_count, decontaminate, langid, line_dedup, packing, quantized_search, simhash, toxicity, url_filter
 from locusweave.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quantized_search, op2_toxicity, op4_packing, op6_language, op7_simhash, op8_token_counts, op9_decontaminate, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quantized_search, op2_toxicity, op4_packing, op5_line_dedup, op6_language, op7_simhash, op8_token_counts, op9_decontaminate, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
