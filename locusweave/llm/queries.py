@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from locusweave.llm import bpe_count, decontaminate, langid, line_dedup, packing, quantized_search, simhash, toxicity, url_filter
+from locusweave.llm import bpe_count, decontaminate, langid, line_dedup, ngram_lm, packing, quantized_search, simhash, toxicity, url_filter
 from locusweave.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -55,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quantized_search, op2_toxicity, op4_packing, op5_line_dedup, op6_language, op7_simhash, op8_token_counts, op9_decontaminate, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quantized_search, op2_toxicity, op3_ngram_lm, op4_packing, op5_line_dedup, op6_language, op7_simhash, op8_token_counts, op9_decontaminate, op10_url_filter)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
