@@ -80,10 +80,11 @@ def rewrite_spanning(active: DataFrame, spec: Spec) -> DataFrame:
             new[n] = F.when(~on, F.col(n))
     gt = F.transform("gt", lambda a: F.when(a <= 0, a).otherwise(F.coalesce(F.nullif(F.array_position(src, a), F.lit(0).cast("long")) - 1, F.size(src).cast("long") - 1)).cast("int"))
     gt = F.when(on, gt).otherwise(F.col("gt"))
-    if spec.min_pl_genotype:
-        gt = F.when(on, F.coalesce(A.least_genotype(A.remap_diploid(F.col("pl"), src), F.size(src)), gt)).otherwise(F.col("gt"))
     new["gt"] = gt
-    return out.withColumns(new).drop("_span", "_source")
+    out = out.withColumns(new)
+    if spec.min_pl_genotype:  # of the PL just reduced
+        out = out.withColumn("gt", F.when(on, F.coalesce(A.least_genotype(F.col("pl"), F.size("alt") + 1), F.col("gt"))).otherwise(F.col("gt")))
+    return out.drop("_span", "_source")
 
 
 def gather(active: DataFrame) -> DataFrame:
