@@ -33,6 +33,8 @@ class Spec:
     #: Whether spanning deletions get the genotype of least PL.
     min_pl_genotype: bool = False
     sites_only: bool = False
+    #: Whether calls may have a ploidy above two; their genotype fields then pass through an Arrow function.
+    general_ploidy: bool = False
     max_alt: int = 50
 
 
@@ -43,13 +45,14 @@ def merged_ref(s: Column, calls: Column) -> Column:
     return F.when(best == "", F.lit("N")).otherwise(best)
 
 
-def spanning_source(ref: Column, alt: Column, pl: Column | None) -> Column:
+def spanning_source(ref: Column, alt: Column, pl: Column | None, ploidy: Column | None = None) -> Column:
     """Places of the alleles that a deletion keeps at later positions: REF, the deletion with the least homozygous PL
     (the first, without PL), and NON_REF where the call has it."""
     places = F.sequence(F.lit(1), F.size(alt))
     dels = F.filter(places, lambda i: A.is_deletion(ref, F.element_at(alt, i)))
     if pl is not None:
-        score = F.array_min(F.transform(dels, lambda i: F.struct(F.coalesce(F.get(pl, A.diploid_index(i, i)), F.lit(2**31 - 1)).alias("pl"), i.alias("i"))))["i"]
+        homozygous = (lambda i: A.diploid_index(i, i)) if ploidy is None else (lambda i: A.genotype_index(F.array_repeat(i, ploidy)).cast("int"))
+        score = F.array_min(F.transform(dels, lambda i: F.struct(F.coalesce(F.get(pl, homozygous(i)), F.lit(2**31 - 1)).alias("pl"), i.alias("i"))))["i"]
     else:
         score = F.element_at(dels, 1)
     non_ref = F.array_position(alt, F.lit(A.NON_REF)).cast("int")
@@ -61,7 +64,8 @@ def rewrite_spanning(active: DataFrame, spec: Spec) -> DataFrame:
     NON_REF), fields and GT re-indexed to that, and INFO fields other than dp dropped."""
     span = (F.col("col_begin") < F.col("s")) & A.contains_deletion(F.col("ref"), F.col("alt"))
     pl = F.col("pl") if "pl" in active.columns else None
-    source = spanning_source(F.col("ref"), F.col("alt"), pl)
+    ploidy = F.size("gt") if spec.general_ploidy else None
+    source = spanning_source(F.col("ref"), F.col("alt"), pl, ploidy)
     out = active.withColumn("_span", span).withColumn("_source", F.when(F.col("_span"), source))
     src, on = F.col("_source"), F.col("_span")
     new = {"ref": F.when(F.col("col_begin") < F.col("s"), F.lit("N")).otherwise(F.col("ref"))}
@@ -74,7 +78,8 @@ def rewrite_spanning(active: DataFrame, spec: Spec) -> DataFrame:
     for n in spec.per_allele_2d:
         new[n] = F.when(on, A.remap_2d(F.col(n), src)).otherwise(F.col(n))
     for n in spec.per_genotype:
-        new[n] = F.when(on, A.remap_diploid(F.col(n), src)).otherwise(F.col(n))
+        again = A.remap_genotypes(F.when(on, F.col(n)), src, ploidy) if spec.general_ploidy else A.remap_diploid(F.col(n), src)
+        new[n] = F.when(on, again).otherwise(F.col(n))
     for n in spec.info:
         if n != "dp":
             new[n] = F.when(~on, F.col(n))
@@ -114,13 +119,24 @@ def remap_calls(merged: DataFrame, spec: Spec) -> DataFrame:
             c = c.withField(n, A.remap_alleles(c[n], c["source"], True))
         for n in spec.per_allele_2d:
             c = c.withField(n, A.remap_2d(c[n], c["source"]))
-        for n in spec.per_genotype:
+        for n in spec.per_genotype if not spec.general_ploidy else ():
             c = c.withField(n, F.when(few & (F.size(c["gt"]) == 2), A.remap_diploid(c[n], c["source"])).when(few & (F.size(c["gt"]) == 1), A.remap_haploid(c[n], c["source"])))
         return c
 
     return merged.withColumn("calls", F.transform("calls", one))
 
 
+def remap_any_ploidy(merged: DataFrame, spec: Spec) -> DataFrame:
+    """Genotype fields of calls of any ploidy in terms of the merged alleles: call by call, then gathered again."""
+    key = ["contig", "s", "t", "ref", "alt"]
+    each = merged.select(*key, F.explode("calls").alias("c"))
+    few = F.size("alt") <= spec.max_alt
+    for n in spec.per_genotype:
+        again = A.remap_genotypes(F.when(few, F.col(f"c.{n}")), F.col("c.source"), F.size("c.gt"))
+        each = each.withColumn("_v", again).withColumn("c", F.col("c").withField(n, F.col("_v"))).drop("_v")
+    return each.groupBy(*key).agg(F.array_sort(F.collect_list("c")).alias("calls"))
+
+
 def info_dp(calls: Column) -> Column:
     """Sum over calls of INFO dp, else min_dp, else dp_format; null unless positive."""
     total = F.aggregate(calls, F.lit(0).cast("long"), lambda s, c: s + F.coalesce(c["dp"], c["min_dp"], c["dp_format"], F.lit(0)).cast("long"))
@@ -133,6 +149,8 @@ def combine_gvcf(calls: DataFrame, spec: Spec | None = None, begin: int | None =
     reference: contig, pos (on the calls' axis) and base, by which a lone `N` is filled."""
     spec = spec or Spec()
     merged = merge_alleles(gather(rewrite_spanning(sweep(calls, begin, end), spec)))
+    if spec.general_ploidy:
+        merged = remap_any_ploidy(merged, spec)
     columns = set(calls.columns)
     blocks = F.forall("calls", lambda c: c["alt"] == F.array(F.lit(A.NON_REF)))
     out = remap_calls(merged.withColumn("_blocks", blocks), spec)
