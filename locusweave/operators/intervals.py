@@ -109,3 +109,17 @@ def neighbours_overlap(ranges: DataFrame, key: str, begin: str, end: str) -> Dat
     """Ranges that begin before the greatest end so far (per key); by a small dimension table's window."""
     before = F.max(end).over(Window.partitionBy(key).orderBy(begin, end).rowsBetween(Window.unboundedPreceding, -1))
     return ranges.withColumn("before", before).where(F.col(begin) <= F.col("before"))
+
+
+def load_partition(calls: DataFrame, begin: int, end: int, ignore_outside: bool = False, first_row: int = 0, last_row: int | None = None) -> DataFrame:
+    """Calls that belong to a column partition and a range of rows (bounds swapped if reversed). Calls that end before
+    the partition or begin after it are an error, unless they are to be ignored; those that reach over its begin stay."""
+    if last_row is not None:
+        first_row, last_row = min(first_row, last_row), max(first_row, last_row)
+        calls = calls.where(F.col("row_idx") <= last_row)
+    calls = calls.where(F.col("row_idx") >= first_row)
+    inside = (F.col("col_end") >= begin) & (F.col("col_begin") <= end)
+    if ignore_outside:
+        return calls.where(inside)
+    checked = F.when(inside, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("call outside the partition: row "), F.col("row_idx").cast("string"), F.lit(", column "), F.col("col_begin").cast("string"))).cast("boolean"))
+    return calls.where(checked)

@@ -11,7 +11,7 @@ from locusweave.functions import alleles as A
 from locusweave.functions.combine import COMBINE
 from locusweave.operators import analytics, diff, intervals, merge, variants
 from locusweave.plans.projection import plan_columns
-from locusweave.sources import adapter, csv_cells, metadata
+from locusweave.sources import adapter, csv_cells, metadata, sinks
 from locusweave.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -424,6 +424,87 @@ def multi_sample_divide(spark, sf):
     return c.select("row_idx", "col_begin", "idx", divide(F.col("q"), F.col("idx"), 3).cast("long").alias("part"))
 
 
+@query(CALLS + " SELECT row_idx, col_begin, col_end FROM calls WHERE row_idx BETWEEN 2 AND 5 AND col_end >= 5000 AND col_begin <= 24999")
+def load_partition(spark, sf):
+    return intervals.load_partition(calls(spark, sf), 5000, 24_999, True, 5, 2).select("row_idx", "col_begin", "col_end")
+
+
+@query(SWEEP + " SELECT contig, s, row_idx, CASE WHEN col_begin < s THEN 'N' ELSE ref END AS ref FROM active")
+def reference_in_the_middle(spark, sf):
+    found = merge.rewrite_spanning(intervals.sweep(calls(spark, sf)), SPEC)
+    return found.select("contig", "s", "row_idx", "ref")
+
+
+@query(MERGED + ", f AS (SELECT DISTINCT contig, s, t, mref FROM merged) SELECT contig, s, CASE WHEN mref = 'N' THEN substr('ACGT', CAST((s * 7) % 4 + 1 AS INT), 1) ELSE mref END AS ref FROM f")
+def reference_fill(spark, sf):
+    merged = merged_calls(spark, sf).select("contig", "s", "t", "ref")
+    bases = merged.select("contig", F.col("s").alias("pos"), F.expr("lower(substr('ACGT', cast((s * 7) % 4 + 1 as int), 1))").alias("base"))
+    return merge.fill_reference(merged, bases).select("contig", "s", "ref")
+
+
+@query(CALLS + f" SELECT row_idx, col_begin, {sql_text('list_transform([0, 2, 1], lambda i: ad[i + 1])')} AS v FROM calls")
+def pl_remap_haploid(spark, sf):
+    return calls(spark, sf).select("row_idx", "col_begin", text(A.remap_haploid(F.col("ad"), F.array(*map(F.lit, (0, 2, 1))))).alias("v"))
+
+
+@query(CALLS + " SELECT row_idx, col_begin, CASE WHEN gt[1] > gt[2] THEN gt[1] * (gt[1] + 1) // 2 + gt[2] ELSE gt[2] * (gt[2] + 1) // 2 + gt[1] END AS i FROM calls")
+def genotype_index(spark, sf):
+    return calls(spark, sf).select("row_idx", "col_begin", A.genotype_index(F.col("gt")).alias("i"))
+
+
+@query(SWEEP + ", e AS (SELECT contig, s, t, i, j, sum(x) AS x FROM (SELECT contig, s, t, unnest([0, 0, 1]) AS i, unnest([0, 1, 0]) AS j, unnest([k % 7, q, k % 5]) AS x FROM active) GROUP BY ALL), r AS (SELECT contig, s, t, i, string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY j) AS y FROM e GROUP BY ALL) SELECT contig, s, t, string_agg(y, '|' ORDER BY i) AS v FROM r GROUP BY ALL")
+def info_elementwise_sum_2d(spark, sf):
+    value = F.array(F.array(F.col("k") % 7, F.col("q")), F.array(F.col("k") % 5))
+    out = combined(spark, sf, "element_wise_sum_2d", value, "long")
+    return out.withColumn("v", F.array_join(F.transform("v", lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")), "|"))
+
+
+@query(CALLS + " SELECT 'q' AS counter, count(q) AS n, CAST(sum(q) AS DOUBLE) AS total, CAST(sum(q * q) AS DOUBLE) AS total_squares, round(avg(q), 6) AS mean, round(stddev_pop(q), 6) AS deviation FROM calls UNION ALL SELECT 'dp', count(dp), CAST(sum(dp) AS DOUBLE), CAST(sum(dp * dp) AS DOUBLE), round(avg(dp), 6), round(stddev_pop(dp), 6) FROM calls")
+def profile_counters(spark, sf):
+    p = analytics.profile(calls(spark, sf), "q", "dp")
+    return p.withColumns({"mean": F.round("mean", 6), "deviation": F.round("deviation", 6)})
+
+
+@query(CALLS + " SELECT bin, bin * 5001 AS lo, (bin + 1) * 5001 - 1 AS hi, count(*) AS n FROM (SELECT unnest(range(least(col_begin // 5001, 19), least(col_end // 5001, 19) + 1)) AS bin FROM calls) GROUP BY bin")
+def merged_histograms(spark, sf):
+    c = calls(spark, sf)
+    return analytics.merge_histograms(*(analytics.interval_histogram(c.where(f"row_idx % 2 = {i}"), 100_001, 20) for i in (0, 1)))
+
+
+@query(CALLS + " SELECT DISTINCT contig || '.' || row_idx AS contig, col_begin AS pos, col_end FROM calls WHERE (contig = 'c0' AND row_idx = 1 AND col_begin <= 9000 AND col_end >= 4000) OR (contig = 'c0' AND row_idx = 3 AND col_begin <= 500 AND col_end >= 0)")
+def region_restriction(spark, sf):
+    regions = spark.createDataFrame([("c0.1", 4000, 9000), ("c0.1", 8000, 8500), ("c0.3", 0, 500)], "contig string, r_begin long, r_end long")
+    return diff.in_regions(_record(calls(spark, sf)).select("contig", "pos", "col_end"), regions)
+
+
+@query(CALLS + " SELECT value, 'only in test' AS kind FROM (SELECT DISTINCT contig AS value FROM calls) WHERE value <> 'c0' UNION ALL SELECT 'cx', 'only in gold'")
+def contig_set_differences(spark, sf):
+    c = calls(spark, sf).select("contig").distinct()
+    gold = c.where("contig = 'c0'").unionByName(spark.createDataFrame([("cx",)], "contig string"))
+    return diff.set_differences(gold, c, "contig")
+
+
+@query(CALLS + " SELECT row_idx, col_begin, CASE WHEN row_idx = 1 THEN 'gold1' ELSE 'sample' || row_idx END AS sample FROM calls")
+def sample_rename(spark, sf):
+    names = spark.createDataFrame([("sample1", "gold1")], "test_name string, gold_name string")
+    c = calls(spark, sf).select("row_idx", "col_begin", F.concat(F.lit("sample"), F.col("row_idx")).alias("sample"))
+    return diff.rename_samples(c, names)
+
+
+@query(CALLS + " SELECT row_idx, col_begin, array_to_string(list_transform(gt, lambda a: CAST(a AS VARCHAR)), '/') AS plain, CAST(gt[1] AS VARCHAR) || '|' || CAST(gt[2] AS VARCHAR) AS phased, './.' AS missing FROM calls")
+def gt_encoding(spark, sf):
+    gt = F.col("gt")
+    return calls(spark, sf).select("row_idx", "col_begin", merge.encode_gt(gt).alias("plain"), merge.encode_gt(gt, F.array(F.lit(True))).alias("phased"), merge.encode_gt(gt, produce=False).alias("missing"))
+
+
+@query(CALLS + f""", f AS (SELECT interval_id, row_idx, col_begin, col_end FROM trunc JOIN {Q} ON col_begin <= qe AND eff_end >= qb)
+SELECT interval_id, string_agg(row_idx, ',' ORDER BY col_begin, row_idx) AS indices, string_agg(col_begin + 1, ',' ORDER BY col_begin, row_idx) AS positions, string_agg(col_end + 1, ',' ORDER BY col_begin, row_idx) AS ends FROM f GROUP BY interval_id""")
+def column_vectors(spark, sf):
+    found = intervals.overlap(calls(spark, sf), query_intervals(spark)).withColumn("offset", F.lit(0).cast("long"))
+    v = sinks.column_vectors(found, ["ref"])
+    return v.select("interval_id", text("indices").alias("indices"), text("POSITION").alias("positions"), text("END").alias("ends"))
+
+
 # ------------------------------------------------------------------ files, differences, streams
 
 

@@ -128,3 +128,43 @@ def partitions(begins: list[dict]) -> list[tuple[int, int, int]]:
     found = sorted(begins, key=lambda p: p["begin"])
     ends = [p["begin"] - 1 for p in found[1:]] + [LAST]
     return [(i, p["begin"], min(p.get("end", e), e)) for i, (p, e) in enumerate(zip(found, ends, strict=True))]
+
+
+#: Allele-specific annotations: INFO names whose values are lists per allele. Fixed values.
+ALLELE_SPECIFIC = {"AS_RAW_MQ": ["R", "VAR"], "AS_QUALapprox": ["R"], "AS_VarDP": ["R"], "AS_SB_TABLE": ["R", "VAR"]}
+
+
+def fields_from_header(spark: SparkSession, path: str) -> tuple[dict[str, dict], list[tuple[str, int, int]]]:
+    """Field configuration and contigs (name, length, offset) from the header lines of VCF files, merged: a field that
+    several classes declare has them all. Only header lines reach the driver."""
+    import re
+
+    lines = [r.value for r in spark.read.text(path).where(F.col("value").startswith("##")).distinct().orderBy("value").collect()]
+    found: dict[str, dict] = {}
+    lengths: dict[str, int] = {}
+    for line in lines:
+        m = re.match(r"##(INFO|FORMAT|FILTER|contig)=<(.*)>$", line)
+        if not m:
+            continue
+        kv = dict(re.findall(r'(\w+)=("[^"]*"|[^,]*)', m[2]))
+        if m[1] == "contig":
+            lengths[kv["ID"]] = int(kv.get("length", 0))
+            continue
+        f = found.setdefault(kv["ID"], {"vcf_field_class": [], "type": kv.get("Type", "String").lower(), "length": {".": "VAR"}.get(kv.get("Number", "1"), kv.get("Number", "1"))})
+        f["vcf_field_class"] = sorted({*f["vcf_field_class"], m[1]})
+        if kv["ID"] == "GT":
+            f["length"] = "PP"
+        if kv["ID"] in ALLELE_SPECIFIC:
+            f["length"] = ALLELE_SPECIFIC[kv["ID"]]
+        if kv["ID"] in KNOWN_COMBINE and "INFO" in f["vcf_field_class"]:
+            f["VCF_field_combine_operation"] = KNOWN_COMBINE[kv["ID"]]
+    out, offset = [], 0
+    for name, length in lengths.items():
+        out.append((name, length, offset))
+        offset += length
+    return fields({"fields": found}), out
+
+
+def read_metadata_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A dimension table kept in a database."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
