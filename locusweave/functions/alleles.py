@@ -9,9 +9,11 @@ from __future__ import annotations
 from math import comb
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from locusweave.session import worker_path
+
 NON_REF = "<NON_REF>"
 SPANNING = "*"
 
@@ -137,6 +139,7 @@ def _remap_general(values: pd.Series, source: pd.Series, ploidy: pd.Series) -> p
 
 def remap_genotypes(values: Column, source: Column, ploidy: Column) -> Column:
     """Array of length G re-indexed for any ploidy: native for one and two, an Arrow function beyond; null without ploidy."""
+    worker_path(SparkSession.getActiveSession())
     general = F.pandas_udf(_remap_general, "array<int>")
     return (
         F.when(ploidy == 2, remap_diploid(values, source))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +22,9 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "1
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def worker_path(spark: SparkSession | None) -> None:
+    """Let Python workers of a local run import this package; a cluster gets it by --py-files."""
+    if spark is not None:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
