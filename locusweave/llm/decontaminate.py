@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import NOT_ALNUM, Words, map_arrow, mix, text_blocks
+from locusweave.llm.common import NOT_ALNUM, Words, ddl, fresh, map_arrow, mix, text_blocks
 
 WINDOW = 10
 #: Most bytes of benchmark text that are broadcast at once.
@@ -93,10 +93,12 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with _hits (flat first word and length of each span of hit words), _items (ids of the items with occurring
-    windows) and _n_words. The whole row travels through the scan, so nothing is joined or shuffled."""
-    current = docs.withColumns({"_hits": F.lit(None).cast("array<long>"), "_items": F.lit(None).cast("array<long>"), "_n_words": F.lit(0).cast("long")})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in current.schema)
+    """docs with three more columns, named _hits, _items and _n_words (or so that they clash with none): flat first word
+    and length of each span of hit words, ids of the items with occurring windows, and the number of words. The whole
+    row travels through the scan, so nothing is joined or shuffled."""
+    kinds = {"_hits": "array<long>", "_items": "array<long>", "_n_words": "long"}
+    current = docs.withColumns({n: F.lit(None).cast(k) for n, k in zip(fresh(docs, *kinds), kinds.values(), strict=True)})
+    schema = ddl(current)
     for block in _blocks(benchmark):
         items = [(r[0], r[1]) for r in block.collect()]  # at most about BENCHMARK_BYTES
 
@@ -104,7 +106,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             known = WindowSet(items, window)
 
             def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-                texts, old_hits, old_items = (batch.column(n) for n in ("text", "_hits", "_items"))
+                texts, old_hits, old_items = (batch.column("text"), batch.column(-3), batch.column(-2))
                 for a, b, data, offsets in text_blocks(texts):
                     words = Words(data, offsets, NOT_ALNUM)
                     hit, found = known.scan(words)
@@ -148,13 +150,14 @@ def _cut(text: str, flat: list[int]) -> str:
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    return mark(docs, benchmark, window).where(F.size("_hits") == 0).select(docs.columns)
+    return mark(docs, benchmark, window).where(F.size(fresh(docs, "_hits")[0]) == 0).select(docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents, the hit spans cut out of their texts."""
-    cut = F.udf(lambda t, h: _cut(t, h), "string")
-    return mark(docs, benchmark, window).withColumn("text", F.when(F.size("_hits") > 0, cut("text", "_hits")).otherwise(F.col("text"))).select(docs.columns)
+    cut = F.udf(lambda t, h: _cut(t, h) if h else t, "string")
+    hits = fresh(docs, "_hits")[0]
+    return mark(docs, benchmark, window).withColumn("text", F.when(F.size(hits) > 0, cut("text", hits)).otherwise(F.col("text"))).select(docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

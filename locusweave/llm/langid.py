@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import BLOCK_BYTES, crc_mod, map_arrow
+from locusweave.llm.common import BLOCK_BYTES, crc_mod, ddl, fresh, map_arrow
 
 GRAMS = (2, 3, 4, 5)
 BUCKETS, DIM = 1 << 15, 12
@@ -155,10 +155,12 @@ def fit(docs: DataFrame, learn=None) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _lang, _score, _accepted; the model is a table of fixed size (BUCKETS rows)."""
+    """docs with three more columns, named _lang, _score and _accepted (or so that they clash with none); the model is a
+    table of fixed size (BUCKETS rows)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    current = docs.withColumns({"_lang": F.lit(None).cast("string"), "_score": F.lit(None).cast("double"), "_accepted": F.lit(None).cast("boolean")})
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in current.schema)
+    kinds = {"_lang": "string", "_score": "double", "_accepted": "boolean"}
+    current = docs.withColumns({n: F.lit(None).cast(k) for n, k in zip(fresh(docs, *kinds), kinds.values(), strict=True)})
+    schema = ddl(current)
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -181,4 +183,4 @@ def classify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with all their columns."""
     model = fit(docs, crc_mod("doc_id", 4) != 2)
-    return identify(docs, model).where("_accepted").select(docs.columns)
+    return identify(docs, model).where(F.col(fresh(docs, "_accepted")[0])).select(docs.columns)
