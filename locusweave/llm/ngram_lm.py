@@ -36,9 +36,9 @@ from locusweave.llm.common import SPACES, Words, map_arrow, text_blocks, worker_
 START, END = 1, 2
 WORD = np.uint64((1 << 48) - 1)
 #: Occurrences and documents of a chunk at most (one longer document is a chunk of its own).
-CHUNK, CHUNK_DOCS = 1_500_000, 60_000
+CHUNK, CHUNK_DOCS = 1_000_000, 60_000
 #: Occurrences of a shard, about; least shards; share of the corpus from which a context is dealt over all shards.
-SHARD, LEAST_SHARDS, HOT = 6_000_000, 16, 0.002
+SHARD, LEAST_SHARDS, HOT = 3_000_000, 16, 0.002
 FOLDS = 10
 
 
