@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from locusweave.functions.alleles import contains_deletion, is_reference_block
 
 BIN = 10_000
+#: Bins of the sweep: about as wide as calls are long, so that a call meets few segments it has nothing to do with.
+SWEEP_BIN = 128
 
 
 def truncate(calls: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def _clip(column: str, bound: int | None, by):
     return F.col(column) if bound is None else by(F.col(column), F.lit(bound).cast("long"))
 
 
-def membership(calls: DataFrame, segs: DataFrame, begin: int | None = None, width: int = BIN) -> DataFrame:
+def membership(calls: DataFrame, segs: DataFrame, begin: int | None = None, width: int = SWEEP_BIN) -> DataFrame:
     """One row per segment and call that is active in it: the call's columns, s and t. Each call is dealt to the bins it
     touches and meets only segments that start there."""
     if "eff_end" not in calls.columns:
