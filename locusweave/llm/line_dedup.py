@@ -16,15 +16,22 @@ document; texts of one very long line are lines like any other; an empty table g
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, pairwise, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import materialize
+from locusweave.llm.common import fresh, materialize
 from locusweave.llm.graph import components
 
-THRESHOLD, SHORT, HOT = 2, 20, 256
+THRESHOLD, SHORT, HOT = 2, 20, 1024
+#: One line in so many is looked at for keys over HOT; ids that are broadcast at most (8 bytes each).
+SAMPLED, BROADCAST = 16, 4_000_000
+#: Letters whose counts travel with the keys: edits of at most k characters change them by at most 2 k together.
+COUNTED = "enatiorshdlucmpg"
+#: Pieces of a line of which all but one per edit must occur near their place in the other.
+PIECES = 8
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -38,41 +45,75 @@ def allowed(length: Column, threshold: int = THRESHOLD, short: int = SHORT) -> C
     return F.least(F.lit(threshold), F.floor(length / short).cast("int"))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column | int, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i (from 1) of a line: the last ones are longer by one."""
-    base = F.floor(length / parts).cast("int")
-    longer = F.greatest(F.lit(0), (i - 1) - (parts - length % parts)).cast("int")
-    size = base + F.when(length % parts > parts - i, 1).otherwise(0)
-    return (i - 1) * base + longer + 1, size
+    i = F.lit(i) if isinstance(i, int) else i
+    base, rest = F.floor(length / parts).cast("int"), length % parts
+    longer = F.greatest(F.lit(0), i - 1 - (parts - rest))
+    return (i - 1) * base + longer + 1, base + (i > parts - rest).cast("int")
+
+
+def letter_counts(norm: Column) -> Column:
+    """Counts of the letters of COUNTED, modulo 16 each, in the half-bytes of one number."""
+    n = F.octet_length(norm)
+    parts = [F.shiftleft(((n - F.octet_length(F.replace(norm, F.lit(c)))) % 16).cast("long"), 4 * i) for i, c in enumerate(COUNTED)]
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """A lower bound of twice the number of edits, from two lines' letter counts."""
+    each = []
+    for i in range(len(COUNTED)):
+        d = F.abs(F.shiftrightunsigned(a, 4 * i).bitwiseAND(15) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(15))
+        each.append(F.least(d, 16 - d))
+    return reduce(lambda x, y: x + y, each)
+
+
+def _keys(lines: DataFrame, ways: list[tuple[int, tuple[int, ...], tuple[int, ...]]], parts: int) -> DataFrame:
+    """id, counts, key: for every way (how much shorter the indexed line is, which of its segments, how far each is
+    shifted) the hash of those substrings. The ways are rows first, so that the hashing is one short expression."""
+    matched = len(ways[0][1])
+    way = F.array(*(F.struct(F.lit(gap).alias("gap"), *(F.lit(i).alias(f"i{c}") for c, i in enumerate(chosen)), *(F.lit(x).alias(f"s{c}") for c, x in enumerate(shifts))) for gap, chosen, shifts in ways))
+    each = lines.select("id", "counts", "norm", "len", F.explode(way).alias("w"))
+    each = each.withColumn("other", F.col("len") - F.col("w.gap"))
+    fits, texts = F.lit(True), []
+    for c in range(matched):
+        start, size = _segment(F.col("other"), F.col(f"w.i{c}"), parts)
+        start = start + F.col(f"w.s{c}")
+        fits &= (start >= 1) & (start + size - 1 <= F.col("len"))
+        texts.append(F.substring("norm", start, size))
+    return each.where(fits).select("id", "counts", F.xxhash64("other", *(F.col(f"w.i{c}") for c in range(matched)), *texts).alias("key"))
 
 
 def index_keys(lines: DataFrame, threshold: int = THRESHOLD, matched: int = 1) -> DataFrame:
-    """id, key: of each line's threshold + matched segments every choice of `matched`."""
-    parts, keys = threshold + matched, []
-    for chosen in combinations(range(1, parts + 1), matched):
-        held = [_segment(F.col("len"), i, parts) for i in chosen]
-        keys.append(F.xxhash64("len", *(F.lit(i) for i in chosen), *(F.substring("norm", start, size) for start, size in held)))
-    return lines.select("id", F.explode(F.array(*keys)).alias("key"))
+    """id, counts, key: of each line's threshold + matched segments every choice of `matched`."""
+    parts = threshold + matched
+    return _keys(lines, [(0, chosen, (0,) * matched) for chosen in combinations(range(1, parts + 1), matched)], parts)
 
 
 def probe_keys(lines: DataFrame, threshold: int = THRESHOLD, matched: int = 1) -> DataFrame:
-    """id, key: the substrings that may be the chosen segments of a line as long or shorter. Segments may be shifted so
-    far that the edits before, between and after them still number at most the threshold."""
-    parts, keys = threshold + matched, []
+    """id, counts, key: the substrings that may be the chosen segments of a line as long or shorter. Segments may be
+    shifted so far that the edits before, between and after them still number at most the threshold."""
+    parts, ways = threshold + matched, []
     for gap in range(threshold + 1):
-        other = F.col("len") - gap
         for chosen in combinations(range(1, parts + 1), matched):
             for shifts in product(range(-threshold, threshold + 1), repeat=matched):
                 steps = [shifts[0], *(q - p for p, q in pairwise(shifts)), gap - shifts[-1]]
-                if sum(map(abs, steps)) > threshold or matched == 1 and (abs(steps[0]) > chosen[0] - 1 or abs(steps[1]) > parts - chosen[0]):
-                    continue
-                fits, texts = F.lit(True), []
-                for i, shift in zip(chosen, shifts, strict=True):
-                    start, size = _segment(other, i, parts)
-                    fits &= (start + shift >= 1) & (start + shift + size - 1 <= F.col("len"))
-                    texts.append(F.substring("norm", start + shift, size))
-                keys.append(F.when(fits, F.xxhash64(other, *(F.lit(i) for i in chosen), *texts)))
-    return lines.select("id", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+                if sum(map(abs, steps)) <= threshold and (matched > 1 or abs(steps[0]) <= chosen[0] - 1 and abs(steps[1]) <= parts - chosen[0]):
+                    ways.append((gap, chosen, shifts))
+    return _keys(lines, ways, parts)
+
+
+def may_be_near(a: Column, b: Column, threshold: int) -> Column:
+    """Whether all pieces of a but one per edit occur in b, at most `threshold` places off: cheap, and true of all pairs
+    within the threshold."""
+    n = F.char_length(a)
+    found = []
+    for i in range(1, PIECES + 1):
+        start, size = _segment(n, i, PIECES)
+        low = F.greatest(start - threshold, F.lit(1))
+        found.append(F.contains(F.substring(b, low, start + size + threshold - low), F.substring(a, start, size)).cast("int"))
+    return reduce(lambda x, y: x + y, found) >= PIECES - threshold
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:
@@ -114,37 +155,54 @@ def _bit(value: Column, place: Column) -> Column:
     return F.call_function("getbit", value, place).cast("int")
 
 
-def _meet(index: DataFrame, probe: DataFrame) -> DataFrame:
-    met = probe.withColumnRenamed("id", "b").join(index.withColumnRenamed("id", "a").hint("shuffle_hash"), "key").where("a <> b")
+def _meet(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
+    a, b = (d.withColumnsRenamed({"id": n, "counts": f"_{n}"}) for d, n in ((index, "a"), (probe, "b")))
+    met = b.join(a.hint("shuffle_hash"), "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("_a"), F.col("_b")) <= 2 * threshold))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
-    """lines: id, norm, len. Returns a, b: the ids of unlike lines within the threshold."""
-    long = lines.where(F.col("len") >= short)
+def candidates(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
+    """lines: id, norm, len. Returns a, b: ids of unlike lines that share a segment and may be within the threshold."""
+    long = lines.where(F.col("len") >= short).withColumn("counts", letter_counts(F.col("norm")))
     index, probe = index_keys(long, threshold), probe_keys(long, threshold)
-    hot = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    # keys of very many lines show in a sample of the lines; what it misses is joined like the rest
+    sample = index_keys(long.where(F.pmod("id", F.lit(SAMPLED)) == 0), threshold)
+    hot = materialize(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > HOT).select("key"), "hot")
     if hot.isEmpty():
-        met = _meet(index, probe)
+        met = _meet(index, probe, threshold)
     else:
         again = long.join(index.unionByName(probe).join(hot, "key", "left_semi").select("id").distinct(), "id", "left_semi")
-        met = _meet(index.join(hot, "key", "left_anti"), probe).unionByName(_meet(index_keys(again, threshold, 2), probe_keys(again, threshold, 2)))
-    met = met.distinct()
-    left = long.select(F.col("id").alias("a"), F.col("norm").alias("s"), F.col("len").alias("m"))
-    right = long.select(F.col("id").alias("b"), F.col("norm").alias("t"), F.col("len").alias("n"))
-    pairs = met.join(left, "a").join(right, "b").where(F.abs(F.col("m") - F.col("n")) <= threshold)
+        met = _meet(index.join(hot, "key", "left_anti"), probe, threshold).unionByName(_meet(index_keys(again, threshold, 2), probe_keys(again, threshold, 2), threshold))
+    return materialize(met.distinct(), "met")
+
+
+def verify(met: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
+    """The candidates (a, b) that are linked. lines: id, norm, len, ids may repeat. Only lines that met another are
+    looked at; their ids are broadcast up to BROADCAST of them, and joined by a shuffle beyond."""
+    ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = F.broadcast(ends) if met.count() <= BROADCAST // 2 else ends
+    few = lines.join(ends, "id", "left_semi").select("id", "norm", "len").distinct()
+    left, right = few.toDF("a", "s", "m"), few.toDF("b", "t", "n")
+    pairs = met.join(left, "a").join(right, "b").where((F.abs(F.col("m") - F.col("n")) <= threshold) & may_be_near(F.col("s"), F.col("t"), threshold))
     return pairs.where(edit_distance(F.col("s"), F.col("t"), threshold) <= allowed(F.least("m", "n"), threshold, short)).select("a", "b")
 
 
+def links(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
+    """lines: id, norm, len. Returns a, b: the ids of unlike lines within the threshold."""
+    return verify(candidates(lines, threshold, short), lines, threshold, short)
+
+
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
     """doc_id, removed (positions of the lines that go, sorted): the documents that lose any."""
     every = occurrences(docs)
-    lines = every.groupBy("norm").agg(F.count("*").alias("n")).select("norm", "n", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("len"))
-    near = materialize(links(lines, threshold, short), "links")
+    named = every.withColumn("id", F.xxhash64("norm"))
+    measured = lambda d: d.select("norm", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("len"))
+    met = candidates(measured(every.select("norm").distinct()), threshold, short)
+    near = materialize(verify(met, measured(every), threshold, short), "links")
     roots = components(near)
-    repeated = lines.where("n > 1").select("id").unionByName(roots.select(F.col("node").alias("id"))).distinct()
+    repeated = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").unionByName(roots.select(F.col("node").alias("id"))).distinct()
     classes = repeated.join(roots, repeated["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("class"))
-    placed = materialize(every.select("doc_id", "pos", F.xxhash64("norm").alias("id")).join(classes, "id").select("doc_id", "pos", "class"), "places")
+    placed = materialize(named.select("doc_id", "pos", "id").join(classes, "id").select("doc_id", "pos", "class"), "places")
     first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     gone = placed.join(first, "class").where(F.struct("doc_id", "pos") != F.col("first"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
@@ -159,9 +217,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the repeated lines; documents that lose all their lines go. n_chars, if there, follows the text."""
-    found = docs.join(removed_lines(docs).withColumnRenamed("removed", "_removed"), "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_removed", i))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = found.withColumn("_text", text).where(F.col("_removed").isNull() | (F.trim("_text") != ""))
-    new = {"text": F.col("_text")} | ({"n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(docs.columns)
+    gone, new = fresh(docs, "_removed", "_text")
+    found = docs.join(removed_lines(docs).withColumnRenamed("removed", gone), "doc_id", "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
+    out = found.withColumn(new, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = out.where(F.col(gone).isNull() | (F.trim(new) != ""))
+    changed = {"text": F.col(new)} | ({"n_chars": F.char_length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.withColumns(changed).select(docs.columns)
