@@ -7,6 +7,12 @@ probes the segments of its own and the shorter lengths at the starts where an al
 them (the multi-match-aware windows). What meets is verified by Hyyro's banded bit-parallel edit distance.
 Of each class of linked lines the first occurrence (least doc_id, then position) stays.
 
+Longer lines are also linked by their words: at most one word in WORDS_AN_EDIT of the shorter line may be replaced, left
+out or added, so that what is allowed grows with the line. Of n words some run of (n - k) / (k + 1) is then unchanged
+by k such edits; every window of that many words names one of its words (the longest one, by a hash among equals),
+and lines meet by the words from there on: the same words are named in both, wherever they stand. What meets is
+verified by the edit distance over words. Lines of LONG words or more need no segments: two edits change four words.
+
 Lines with a segment that more than HOT lines share are joined by pairs of segments instead: of THRESHOLD + 2
 segments at least two are unchanged. Both ways find every pair, so none is lost between them.
 
@@ -32,6 +38,14 @@ SAMPLED, BROADCAST = 16, 4_000_000
 COUNTED = "enatiorshdlucmpg"
 #: Pieces of a line of which all but one per edit must occur near their place in the other.
 PIECES = 8
+#: Words of the shorter line for each word that may differ; words from which two edits of characters are among these
+#: (four words, and a line that is longer by two).
+WORDS_AN_EDIT, LONG = 10, 42
+#: By the shorter line's words, from: words that must agree, and words of a window of which one is named. Together, less
+#: one, they are the longest run that must be unchanged: 9 t / (t + 1) words, rounded up, for t edits.
+RUNS = ((10, 3, 3), (20, 4, 3), (40, 5, 4))
+#: Low bits of a named word's number that hold its place in the line.
+PLACE_BITS = 28
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -192,13 +206,90 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> D
     return verify(candidates(lines, threshold, short), lines, threshold, short)
 
 
-def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
+def _words(norm: Column) -> Column:
+    return F.split(norm, r"\s+")
+
+
+def words_allowed(n: Column) -> Column:
+    """Words by which a line of n words and one as long or longer may differ."""
+    return F.floor(n / WORDS_AN_EDIT).cast("int")
+
+
+def _run_class(n: Column) -> Column:
+    """Which of RUNS goes for a shorter line of n words; -1: none."""
+    return sum(((n >= start).cast("int") for start, _, _ in RUNS), F.lit(-1))
+
+
+def word_keys(lines: DataFrame) -> DataFrame:
+    """id, n, key: hashes of the runs from each named word, for the line as the shorter one of a pair and as the longer."""
+    counted = lines.select("id", F.size(_words(F.col("norm"))).alias("n"), "norm").where(F.col("n") >= RUNS[0][0])
+
+    def number(word: Column) -> Column:  # longer words first, as they are rarer; the place's bits are free
+        short = F.lit(31) - F.least(F.char_length(word), F.lit(31))
+        return F.shiftleft(short.cast("long"), 58).bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.xxhash64(word), 34), PLACE_BITS))
+
+    def keyed(which: int, agree: int, window: int) -> DataFrame:
+        def runs(x: Column) -> Column:
+            name = lambda i: F.least(*(F.get(x, i + j).bitwiseOR((i + j).cast("long")) for j in range(window)))
+            named = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - agree - window + 1), name))
+            place = lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+            return F.transform(named, lambda v: F.xxhash64(F.lit(which), F.slice(x, place(v) + 1, agree)))
+
+        here = counted.where((_run_class(F.col("n")) == which) | (_run_class(F.col("n") - words_allowed(F.col("n"))) == which))
+        # within a lambda the words' numbers are made once, not for every place
+        keys = F.flatten(F.transform(F.array(F.transform(_words(F.col("norm")), number)), runs))
+        return here.select("id", "n", F.explode(F.array_distinct(keys)).alias("key"))
+
+    return reduce(DataFrame.unionByName, (keyed(k, agree, window) for k, (_, agree, window) in enumerate(RUNS)))
+
+
+def word_candidates(lines: DataFrame) -> DataFrame:
+    """lines: id, norm. Returns a, b: ids of unlike lines that share a run and may differ by the allowed words at most."""
+    sample = word_keys(lines.where(F.pmod("id", F.lit(SAMPLED)) == 0))
+    hot = materialize(sample.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") * SAMPLED > HOT).select("key", F.lit(True).alias("hot")), "hot")
+    every = word_keys(lines)
+    if not hot.isEmpty():
+        # keys of very many lines are parted by length: the shorter line's is among those that the longer one takes
+        bucket = lambda n: F.floor(F.log(n.cast("double")) * 20).cast("int")
+        parts = F.when(F.col("hot"), F.sequence(bucket(F.col("n") - words_allowed(F.col("n"))), bucket(F.col("n")))).otherwise(F.array(F.lit(-1)))
+        every = every.join(hot, "key", "left").select("id", "n", F.explode(parts).alias("part"), "key").select("id", "n", F.when(F.col("part") < 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"))
+    a, b = (every.withColumnsRenamed({"id": x, "n": f"_{x}"}) for x in ("a", "b"))
+    met = b.join(a.hint("shuffle_hash"), "key").where((F.col("a") < F.col("b")) & (F.abs(F.col("_a") - F.col("_b")) <= words_allowed(F.least("_a", "_b"))))
+    return materialize(met.select("a", "b").distinct(), "wordsmet")
+
+
+def verify_words(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """The candidates (a, b) that are linked by their words. Each word is written as one character, by two hashes: the
+    distance of such texts is never over that of the words, and below it only where both hashes fall together."""
+    ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = F.broadcast(ends) if met.count() <= BROADCAST // 2 else ends
+
+    def written(seed: int) -> Column:
+        code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(F.lit(seed), w), F.lit(0xD000)) + 0x100), 4, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(_words(F.col("norm")), code), "")), "UTF-16BE")
+
+    few = lines.join(ends, "id", "left_semi").select("id", "norm").distinct()
+    few = few.select("id", written(1).alias("s"), written(2).alias("z"), F.size(_words(F.col("norm"))).alias("n"))
+    few = materialize(few, "written")
+    pairs = met.join(few.toDF("a", "s", "y", "m"), "a").join(few.toDF("b", "t", "z", "n"), "b")
+    most = words_allowed(F.least("m", "n"))
+    within = lambda x, y: F.call_function("levenshtein", F.col(x), F.col(y), most) >= 0
+    return pairs.where((most > 0) & within("s", "t")).where(within("y", "z")).select("a", "b")
+
+
+def all_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
+    """a, b: the ids of unlike lines that are linked by either rule. distinct, lines: id, norm, len; ids of lines may repeat."""
+    short = distinct.where(F.size(_words(F.col("norm"))) < LONG)
+    by_edits = verify(candidates(short), lines)
+    return by_edits.unionByName(verify_words(word_candidates(distinct), lines)).distinct()
+
+
+def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, removed (positions of the lines that go, sorted): the documents that lose any."""
     every = occurrences(docs)
     named = every.withColumn("id", F.xxhash64("norm"))
     measured = lambda d: d.select("norm", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("len"))
-    met = candidates(measured(every.select("norm").distinct()), threshold, short)
-    near = materialize(verify(met, measured(every), threshold, short), "links")
+    near = materialize(all_links(measured(every.select("norm").distinct()), measured(every)), "links")
     roots = components(near)
     repeated = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").unionByName(roots.select(F.col("node").alias("id"))).distinct()
     classes = repeated.join(roots, repeated["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("class"))

@@ -237,6 +237,40 @@ def test_line_dedup_keeps_the_first(spark, docs, nothing):
     assert line_dedup.dedup(docs).columns == docs.columns and line_dedup.report(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 2])
+def test_links_grow_with_the_line(spark, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1)
+    rnd, lines = random.Random(5), set()
+    for n in [*range(8, 48), 60, 79, 100, 130, 400]:
+        base = [rnd.choice(WORDS) + rnd.choice(["", "s", "ing", "\u00e9"]) for _ in range(n)]
+        lines.add(" ".join(base))
+        for edits in {1, 2, n // 10, n // 10 + 1}:
+            t = list(base)
+            for place in sorted(rnd.sample(range(n), edits), reverse=True):
+                match rnd.randrange(4):
+                    case 0:
+                        t.insert(place, "entirely")
+                    case 1:
+                        del t[place]
+                    case _:
+                        t[place] = "otherwise"
+            lines.add(" ".join(t))
+        lines.add(edited(rnd, " ".join(base), 2).strip())
+    evenly = ["the"] * 45
+    lines |= {" ".join(evenly), " ".join("of" if i % 9 == 8 else w for i, w in enumerate(evenly) if i < 44)}
+    lines = sorted(lines)
+    df = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "id long, norm string, len int")
+    words = [re.split(r"\s+", x) for x in lines]
+    by_words = lambda i, j: (m := min(len(words[i]), len(words[j]))) >= 10 and abs(len(words[i]) - len(words[j])) <= m // 10 and distance(words[i], words[j]) <= m // 10
+    by_edits = lambda i, j: min(len(lines[i]), len(lines[j])) >= 40 and abs(len(lines[i]) - len(lines[j])) <= 2 and distance(lines[i], lines[j]) <= 2
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if by_words(i, j) or by_edits(i, j)}
+    assert {(r.a, r.b) for r in line_dedup.all_links(df, df).collect()} == want and len(want) > 150
+    base = " ".join(f"w{i}" for i in range(27))
+    docs = spark.createDataFrame([(1, base), (2, base.replace("w13", "elsewhere"))], "doc_id long, text string")
+    assert [r.doc_id for r in line_dedup.dedup(docs).collect()] == [1]
+
+
 def test_no_python_in_native_plans(spark):
     for name in ("op10_url_filter", "op5_line_dedup"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
