@@ -284,26 +284,41 @@ def all_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     return by_edits.unionByName(verify_words(word_candidates(distinct), lines)).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, removed (positions of the lines that go, sorted): the documents that lose any."""
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, line_id, class_id, n_links: for every line that is not blank the number of its text, the least such
+    number of its class, and how many other texts it is linked with."""
     every = occurrences(docs)
-    named = every.withColumn("id", F.xxhash64("norm"))
     measured = lambda d: d.select("norm", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("len"))
     near = materialize(all_links(measured(every.select("norm").distinct()), measured(every)), "links")
-    roots = components(near)
-    repeated = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").unionByName(roots.select(F.col("node").alias("id"))).distinct()
-    classes = repeated.join(roots, repeated["id"] == roots["node"], "left").select("id", F.coalesce("root", "id").alias("class"))
-    placed = materialize(named.select("doc_id", "pos", "id").join(classes, "id").select("doc_id", "pos", "class"), "places")
-    first = placed.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    gone = placed.join(first, "class").where(F.struct("doc_id", "pos") != F.col("first"))
+    degree = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = components(near).join(degree, "node").withColumnRenamed("node", "line_id")
+    named = every.select("doc_id", "pos", F.xxhash64("norm").alias("line_id")).join(linked, "line_id", "left")
+    return named.select("doc_id", "pos", "line_id", F.coalesce("root", "line_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _removed(lines: DataFrame) -> DataFrame:
+    """lines: those of classified(). doc_id, removed (positions of the lines that go, sorted): the documents that lose any."""
+    repeated = lines.groupBy("class_id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last")).where("first <> last")
+    gone = lines.join(repeated, "class_id").where(F.struct("doc_id", "pos") != F.col("first"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, removed (positions of the lines that go, sorted): the documents that lose any."""
+    return _removed(materialize(classified(docs), "lines"))
+
+
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed_lines (positions, comma-joined): one row per row of docs."""
+    """doc_id, n_lines, n_removed, removed_lines (positions, comma-joined), lines (pos, line_id, class_id, n_links of every
+    line that is not blank, by position; see classified()): one row per row of docs."""
     counted = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    found = counted.join(removed_lines(docs), "doc_id", "left")
-    return found.select("doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
+    named = materialize(classified(docs), "lines")
+    lines = named.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "line_id", "class_id", "n_links"))).alias("lines"))
+    found = counted.join(_removed(named), "doc_id", "left").join(lines, "doc_id", "left")
+    return found.select(
+        "doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"),
+        F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"),
+    )
 
 
 def dedup(docs: DataFrame) -> DataFrame:

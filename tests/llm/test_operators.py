@@ -271,6 +271,19 @@ def test_links_grow_with_the_line(spark, monkeypatch, hot):
     assert [r.doc_id for r in line_dedup.dedup(docs).collect()] == [1]
 
 
+def test_line_report_names_classes_and_links(spark):
+    a, b, c, d = (" ".join(f"w{i}" if i not in put else f"other{i}" for i in range(20)) for put in ((), (3, 9), (3, 9, 11, 17), (1, 2, 4, 5, 6, 7)))
+    df = spark.createDataFrame([(1, f"{a}\n\n{d}"), (2, b), (3, f"{c}\n{a.upper()}"), (4, None), (5, " ")], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.report(df).collect()}
+    lines = {(k, x.pos): x for k, r in got.items() for x in r.lines}
+    assert set(lines) == {(1, 0), (1, 2), (2, 0), (3, 0), (3, 1)}
+    assert {k: x.n_links for k, x in lines.items()} == {(1, 0): 1, (1, 2): 0, (2, 0): 2, (3, 0): 1, (3, 1): 1}
+    near = [lines[k] for k in ((1, 0), (2, 0), (3, 0), (3, 1))]
+    assert {x.class_id for x in near} == {min(x.line_id for x in near)} and lines[1, 2].class_id == lines[1, 2].line_id
+    assert lines[1, 0].line_id == lines[3, 1].line_id and len({x.line_id for x in near}) == 3
+    assert {k: r.removed_lines for k, r in got.items()} == {1: "", 2: "0", 3: "0,1", 4: "", 5: ""}
+
+
 def test_no_python_in_native_plans(spark):
     for name in ("op10_url_filter", "op5_line_dedup"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
