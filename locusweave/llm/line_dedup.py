@@ -5,7 +5,7 @@ below SHORT characters, one below twice that, THRESHOLD from there, by the short
 is cut into THRESHOLD + 1 even segments, of which a line within the threshold must hold one unchanged; every line
 probes the segments of its own and the shorter lengths at the starts where an alignment of that many edits can put
 them (the multi-match-aware windows). What meets is verified by Hyyro's banded bit-parallel edit distance.
-Of each class of linked lines the first occurrence (least doc_id, then position) stays.
+Of each class of linked lines the first occurrence (least doc_id, null last, then position) stays.
 
 Longer lines are also linked by their words: at most one word in WORDS_AN_EDIT of the shorter line may be replaced, left
 out or added, so that what is allowed grows with the line. Of n words some run of (n - k) / (k + 1) is then unchanged
@@ -17,7 +17,7 @@ Lines with a segment that more than HOT lines share are joined by pairs of segme
 segments at least two are unchanged. Both ways find every pair, so none is lost between them.
 
 Defined results: null and empty texts have no lines; blank lines are always kept; rows that repeat a doc_id are one
-document; texts of one very long line are lines like any other; an empty table gives no rows; other columns stay.
+document, and so are rows without doc_id that have the same text; texts of one very long line are lines like any other; an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -48,10 +48,17 @@ RUNS = ((10, 3, 3), (20, 4, 3), (40, 5, 4))
 PLACE_BITS = 28
 
 
+def document() -> Column:
+    """What names a row's document, in the order in which documents keep their lines: those without doc_id come last and
+    are told apart by their texts."""
+    none = F.col("doc_id").isNull()
+    return F.struct(none.alias("none"), F.col("doc_id"), F.when(none, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("text_id"))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, norm: every line that is not blank."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.select("doc_id", "pos", F.lower(F.trim("line")).alias("norm")).where("norm <> ''")
+    """doc, pos, norm: every line that is not blank; doc as document() has it."""
+    lines = docs.select(document().alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc", "pos", F.lower(F.trim("line")).alias("norm")).where("norm <> ''")
 
 
 def allowed(length: Column, threshold: int = THRESHOLD, short: int = SHORT) -> Column:
@@ -285,36 +292,36 @@ def all_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line_id, class_id, n_links: for every line that is not blank the number of its text, the least such
+    """doc, pos, line_id, class_id, n_links: for every line that is not blank the number of its text, the least such
     number of its class, and how many other texts it is linked with."""
     every = occurrences(docs)
     measured = lambda d: d.select("norm", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("len"))
     near = materialize(all_links(measured(every.select("norm").distinct()), measured(every)), "links")
     degree = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = components(near).join(degree, "node").withColumnRenamed("node", "line_id")
-    named = every.select("doc_id", "pos", F.xxhash64("norm").alias("line_id")).join(linked, "line_id", "left")
-    return named.select("doc_id", "pos", "line_id", F.coalesce("root", "line_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = every.select("doc", "pos", F.xxhash64("norm").alias("line_id")).join(linked, "line_id", "left")
+    return named.select("doc", "pos", "line_id", F.coalesce("root", "line_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _removed(lines: DataFrame) -> DataFrame:
-    """lines: those of classified(). doc_id, removed (positions of the lines that go, sorted): the documents that lose any."""
-    repeated = lines.groupBy("class_id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last")).where("first <> last")
-    gone = lines.join(repeated, "class_id").where(F.struct("doc_id", "pos") != F.col("first"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    """lines: those of classified(). doc, removed (positions of the lines that go, sorted): the documents that lose any."""
+    repeated = lines.groupBy("class_id").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", "pos")).alias("last")).where("first <> last")
+    gone = lines.join(repeated, "class_id").where(F.struct("doc", "pos") != F.col("first"))
+    return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, removed (positions of the lines that go, sorted): the documents that lose any."""
+    """doc (see document()), removed (positions of the lines that go, sorted): the documents that lose any."""
     return _removed(materialize(classified(docs), "lines"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (positions, comma-joined), lines (pos, line_id, class_id, n_links of every
     line that is not blank, by position; see classified()): one row per row of docs."""
-    counted = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    counted = docs.select(document().alias("doc"), "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     named = materialize(classified(docs), "lines")
-    lines = named.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "line_id", "class_id", "n_links"))).alias("lines"))
-    found = counted.join(_removed(named), "doc_id", "left").join(lines, "doc_id", "left")
+    lines = named.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "line_id", "class_id", "n_links"))).alias("lines"))
+    found = counted.join(_removed(named), "doc", "left").join(lines, "doc", "left")
     return found.select(
         "doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"),
         F.coalesce("lines", F.array().cast(lines.schema["lines"].dataType)).alias("lines"),
@@ -323,8 +330,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the repeated lines; documents that lose all their lines go. n_chars, if there, follows the text."""
-    gone, new = fresh(docs, "_removed", "_text")
-    found = docs.join(removed_lines(docs).withColumnRenamed("removed", gone), "doc_id", "left")
+    gone, new, doc = fresh(docs, "_removed", "_text", "_doc")
+    found = docs.withColumn(doc, document()).join(removed_lines(docs).withColumnsRenamed({"removed": gone, "doc": doc}), doc, "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
     out = found.withColumn(new, F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     out = out.where(F.col(gone).isNull() | (F.trim(new) != ""))

@@ -10,6 +10,8 @@ alternating star steps, written to the shared folder each round.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; a text of one or two words has
 one shingle, the whole sequence; rows that repeat a doc_id are one document to dedup; extra columns don't matter.
+A row without doc_id has its links like any other, but names a component only where all rows are so (component_id is
+null then), and is kept only there: one row, of those with the least fingerprint that with the least text.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import map_arrow, materialize
+from locusweave.llm.common import ddl, fresh, map_arrow, materialize
 from locusweave.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -145,18 +147,46 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return map_arrow(shards.select("fps"), "a long, b long", make).distinct()
 
 
+def _components(fps: DataFrame, radius: int) -> DataFrame:
+    """fps: doc_id, fp. Returns fp, root (the least fingerprint of its component), component_id (the component's smallest
+    doc_id, null if no row of it has one)."""
+    rep = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    roots = components(links(rep.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = materialize(rep.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
+    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root")
+
+
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links."""
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, null if there is none."""
     fps = materialize(fingerprints(docs, shingle), "fps")
-    rep = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = links(rep.select("fp"), radius)
-    named = found.join(rep.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    roots = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    per = rep.join(roots, rep["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    per = _components(fps, radius).select("fp", "component_id")
     return fps.join(per, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: that with the smallest doc_id (one row, if several have it)."""
-    keep = classes(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each component: that with the smallest doc_id (one row, if several have it); of a component
+    without any doc_id, one row."""
+    found = materialize(_components(materialize(fingerprints(docs, shingle), "fps"), radius), "components")
+    keep = found.where("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    (fp,) = fresh(docs, "_fp")
+    nameless = found.where("component_id IS NULL AND fp = root").select(F.col("fp").alias(fp))
+    if nameless.isEmpty():
+        return kept
+    without = _with_fingerprint(docs.where("doc_id IS NULL"), fp, shingle).join(nameless, fp, "left_semi")
+    one = without.groupBy(fp).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias(fp + "_row"))
+    return kept.unionByName(one.select(fp + "_row.*"))
+
+
+def _with_fingerprint(docs: DataFrame, name: str, shingle: int) -> DataFrame:
+    current = docs.withColumn(name, F.lit(None).cast("long"))
+    schema = ddl(current)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values.view(np.int64))], names=batch.schema.names)
+
+        return each
+
+    return map_arrow(current, schema, make)

@@ -284,6 +284,14 @@ def test_line_report_names_classes_and_links(spark):
     assert {k: r.removed_lines for k, r in got.items()} == {1: "", 2: "0", 3: "0,1", 4: "", 5: ""}
 
 
+def test_line_dedup_without_doc_ids(spark):
+    line = "A line of some length that stands in many documents, again"
+    rows = [(None, f"{line}\nonly here"), (7, f"own line seven\n{line}"), (None, "quite another text"), (None, f"own line\n{line}"), (None, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup(df).collect()) == [(0, "only here"), (0, "own line"), (0, "quite another text"), (0, "quite another text"), (7, f"own line seven\n{line}")]
+    assert sorted((r.doc_id or 0, r.n_lines, r.removed_lines, len(r.lines)) for r in line_dedup.report(df).collect()) == [(0, 1, "", 1), (0, 1, "", 1), (0, 2, "0", 2), (0, 2, "1", 2), (7, 2, "", 2)]
+
+
 def test_no_python_in_native_plans(spark):
     for name in ("op10_url_filter", "op5_line_dedup"):
         plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
@@ -338,6 +346,18 @@ def test_simhash(spark, docs, nothing, monkeypatch, hot):
     assert simhash.classes(nothing).count() == 0
 
 
+def test_simhash_without_doc_ids(spark, monkeypatch):
+    texts = [(None, "one text of its own, without a number"), (5, "a text with a number"), (None, "a text with a number"), (None, None), (None, "one text of its own, without a number")]
+    df = spark.createDataFrame([(d, t, "clash") for d, t in texts], "doc_id long, text string, _fp string")
+    kept = simhash.dedup(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "one text of its own, without a number"), (5, "a text with a number")]
+    fps = {"A": 0, "N": 0b11, "B": 0b1111}  # A and B are linked over N alone, which has no number
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle: fps[text])
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", F.when(F.col("text") == "A", 0).when(F.col("text") == "N", 3).otherwise(15).cast("long").alias("fp")))
+    chain = spark.createDataFrame([(2, "A"), (None, "N"), (1, "B")], "doc_id long, text string")
+    assert {r.component_id for r in simhash.classes(chain).collect()} == {1} and [r.doc_id for r in simhash.dedup(chain).collect()] == [1]
+
+
 def test_links_near_each_other(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 8)
     rnd = random.Random(4)

@@ -38,6 +38,14 @@ def test_stages(spark):
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_texts_without_doc_id_stay(spark):
+    rows = [(None, "the river and the green house by the water were in light"), (None, "a stone that was in the house of the green river by night"), (4, "the light of water was on the stone and as green as with that river")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, SF)
+    assert sorted(r.text for r in docs.collect()) == sorted(t for _, t in rows)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
