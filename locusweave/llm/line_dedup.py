@@ -45,7 +45,7 @@ WORDS_AN_EDIT, LONG = 10, 42
 #: one, they are the longest run that must be unchanged: 9 t / (t + 1) words, rounded up, for t edits.
 RUNS = ((10, 3, 3), (20, 4, 3), (40, 5, 4))
 #: Low bits of a named word's number that hold its place in the line.
-PLACE_BITS = 28
+PLACE_BITS, MANY = 28, 0xFFFF
 
 
 def document() -> Column:
@@ -214,7 +214,12 @@ def links(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> D
 
 
 def _words(norm: Column) -> Column:
-    return F.split(norm, r"\s+")
+    """What stands between blanks and tabs (an empty word between two of them)."""
+    return F.split(F.translate(norm, "\t\r\f\v", "    "), " ")
+
+
+def _n_words(norm: Column) -> Column:
+    return F.octet_length(norm) - F.octet_length(F.translate(norm, " \t\r\f\v", "")) + 1
 
 
 def words_allowed(n: Column) -> Column:
@@ -228,40 +233,52 @@ def _run_class(n: Column) -> Column:
 
 
 def word_keys(lines: DataFrame) -> DataFrame:
-    """id, n, key: hashes of the runs from each named word, for the line as the shorter one of a pair and as the longer."""
-    counted = lines.select("id", F.size(_words(F.col("norm"))).alias("n"), "norm").where(F.col("n") >= RUNS[0][0])
+    """id, about, key: hashes of the runs from each named word, for the line as the shorter one of a pair and as the longer.
+    about: in the low 16 bits the number of words (MANY: so many or more), above it for 48 classes of words whether the
+    line has an odd number of them; a word that differs changes two of these at most."""
+    n = F.col("n")
+    counted = lines.select("id", _n_words(F.col("norm")).alias("n"), "norm").where(n >= RUNS[0][0])
+    counted = counted.select("id", "n", "norm", F.explode(F.array_distinct(F.array(_run_class(n), _run_class(n - words_allowed(n))))).alias("which")).where("which >= 0")
 
     def number(word: Column) -> Column:  # longer words first, as they are rarer; the place's bits are free
         short = F.lit(31) - F.least(F.char_length(word), F.lit(31))
         return F.shiftleft(short.cast("long"), 58).bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.xxhash64(word), 34), PLACE_BITS))
 
-    def keyed(which: int, agree: int, window: int) -> DataFrame:
-        def runs(x: Column) -> Column:
-            name = lambda i: F.least(*(F.get(x, i + j).bitwiseOR((i + j).cast("long")) for j in range(window)))
-            named = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - agree - window + 1), name))
-            place = lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-            return F.transform(named, lambda v: F.xxhash64(F.lit(which), F.slice(x, place(v) + 1, agree)))
+    def runs(x: Column, which: int, agree: int, window: int) -> Column:
+        name = lambda i: F.least(*(F.get(x, i + j).bitwiseOR((i + j).cast("long")) for j in range(window)))
+        named = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - agree - window + 1), name))
+        place = lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        return F.array_distinct(F.transform(named, lambda v: F.xxhash64(F.lit(which), F.slice(x, place(v) + 1, agree))))
 
-        here = counted.where((_run_class(F.col("n")) == which) | (_run_class(F.col("n") - words_allowed(F.col("n"))) == which))
-        # within a lambda the words' numbers are made once, not for every place
-        keys = F.flatten(F.transform(F.array(F.transform(_words(F.col("norm")), number)), runs))
-        return here.select("id", "n", F.explode(F.array_distinct(keys)).alias("key"))
+    def of_line(x: Column) -> Column:
+        bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftrightunsigned(v, PLACE_BITS) % 48).cast("int") + 16)
+        odd = F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
+        keys = F.when(F.col("which") == 0, runs(x, 0, *RUNS[0][1:]))
+        for k in range(1, len(RUNS)):
+            keys = keys.when(F.col("which") == k, runs(x, k, *RUNS[k][1:]))
+        return F.struct(odd.bitwiseOR(F.least(n, F.lit(MANY)).cast("long")).alias("about"), keys.alias("keys"))
 
-    return reduce(DataFrame.unionByName, (keyed(k, agree, window) for k, (_, agree, window) in enumerate(RUNS)))
+    # within a lambda the words' numbers are made once, not for every place
+    each = counted.select("id", F.explode(F.transform(F.array(F.transform(_words(F.col("norm")), number)), of_line)).alias("k"))
+    return each.select("id", F.col("k.about").alias("about"), F.explode("k.keys").alias("key"))
 
 
 def word_candidates(lines: DataFrame) -> DataFrame:
     """lines: id, norm. Returns a, b: ids of unlike lines that share a run and may differ by the allowed words at most."""
+    n = lambda about: about.bitwiseAND(F.lit(MANY)).cast("int")
     sample = word_keys(lines.where(F.pmod("id", F.lit(SAMPLED)) == 0))
     hot = materialize(sample.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") * SAMPLED > HOT).select("key", F.lit(True).alias("hot")), "hot")
     every = word_keys(lines)
     if not hot.isEmpty():
         # keys of very many lines are parted by length: the shorter line's is among those that the longer one takes
-        bucket = lambda n: F.floor(F.log(n.cast("double")) * 20).cast("int")
-        parts = F.when(F.col("hot"), F.sequence(bucket(F.col("n") - words_allowed(F.col("n"))), bucket(F.col("n")))).otherwise(F.array(F.lit(-1)))
-        every = every.join(hot, "key", "left").select("id", "n", F.explode(parts).alias("part"), "key").select("id", "n", F.when(F.col("part") < 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"))
-    a, b = (every.withColumnsRenamed({"id": x, "n": f"_{x}"}) for x in ("a", "b"))
-    met = b.join(a.hint("shuffle_hash"), "key").where((F.col("a") < F.col("b")) & (F.abs(F.col("_a") - F.col("_b")) <= words_allowed(F.least("_a", "_b"))))
+        bucket = lambda x: F.floor(F.log(x.cast("double")) * 20).cast("int")
+        parts = F.when(F.col("hot"), F.sequence(bucket(n(F.col("about")) - words_allowed(n(F.col("about")))), bucket(n(F.col("about"))))).otherwise(F.array(F.lit(-1)))
+        every = every.join(hot, "key", "left").select("id", "about", F.explode(parts).alias("part"), "key").select("id", "about", F.when(F.col("part") < 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"))
+    a, b = (every.withColumnsRenamed({"id": x, "about": f"_{x}"}) for x in ("a", "b"))
+    shorter, apart = F.least(n(F.col("_a")), n(F.col("_b"))), F.abs(n(F.col("_a")) - n(F.col("_b")))
+    odd = F.bit_count(F.shiftrightunsigned(F.col("_a").bitwiseXOR(F.col("_b")), 16))
+    may = (shorter == MANY) | (apart <= words_allowed(shorter)) & (odd <= 2 * words_allowed(shorter))
+    met = b.join(a.hint("shuffle_hash"), "key").where((F.col("a") < F.col("b")) & may)
     return materialize(met.select("a", "b").distinct(), "wordsmet")
 
 
@@ -276,7 +293,7 @@ def verify_words(met: DataFrame, lines: DataFrame) -> DataFrame:
         return F.decode(F.unhex(F.array_join(F.transform(_words(F.col("norm")), code), "")), "UTF-16BE")
 
     few = lines.join(ends, "id", "left_semi").select("id", "norm").distinct()
-    few = few.select("id", written(1).alias("s"), written(2).alias("z"), F.size(_words(F.col("norm"))).alias("n"))
+    few = few.select("id", written(1).alias("s"), written(2).alias("z"), _n_words(F.col("norm")).alias("n"))
     few = materialize(few, "written")
     pairs = met.join(few.toDF("a", "s", "y", "m"), "a").join(few.toDF("b", "t", "z", "n"), "b")
     most = words_allowed(F.least("m", "n"))
@@ -286,7 +303,7 @@ def verify_words(met: DataFrame, lines: DataFrame) -> DataFrame:
 
 def all_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """a, b: the ids of unlike lines that are linked by either rule. distinct, lines: id, norm, len; ids of lines may repeat."""
-    short = distinct.where(F.size(_words(F.col("norm"))) < LONG)
+    short = distinct.where(_n_words(F.col("norm")) < LONG)
     by_edits = verify(candidates(short), lines)
     return by_edits.unionByName(verify_words(word_candidates(distinct), lines)).distinct()
 
@@ -296,7 +313,8 @@ def classified(docs: DataFrame) -> DataFrame:
     number of its class, and how many other texts it is linked with."""
     every = occurrences(docs)
     measured = lambda d: d.select("norm", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("len"))
-    near = materialize(all_links(measured(every.select("norm").distinct()), measured(every)), "links")
+    texts = materialize(measured(every.select("norm").distinct()), "texts")
+    near = materialize(all_links(texts, texts), "links")
     degree = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = components(near).join(degree, "node").withColumnRenamed("node", "line_id")
     named = every.select("doc", "pos", F.xxhash64("norm").alias("line_id")).join(linked, "line_id", "left")
