@@ -7,7 +7,8 @@ calibrated by a temperature fitted on a part of the sample that training leaves
 letter or its score is below a threshold at which at most REJECT of that part would be lost.
 
 Defined results: null, empty and letterless texts get `und`, score 0, and are rejected; whole texts count, however
-long; ties go to the first language in order; with no labelled row every text is `und`; extra columns don't matter.
+long; ties go to the first language in order; every language with a row to learn from is
+learned; with no labelled row every text is `und`; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from locusweave.llm.common import BLOCK_BYTES, crc_mod, ddl, fresh, map_arrow
 
 GRAMS = (2, 3, 4, 5)
 BUCKETS, DIM = 1 << 15, 12
-#: Documents of a language that are learned from (expected; whole texts), and most languages.
+#: Documents of a language that are learned from (expected; whole texts); of more than so many languages each gets fewer.
 SAMPLE, LANGUAGES = 600, 200
 EPOCHS, RATE, BATCH = 6, 0.6, 16
 REJECT = 0.001
@@ -39,21 +40,23 @@ def _bytes(text: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # BUCKETS x languages: embedding times softmax weights, as both are linear
+    table: np.ndarray  # BUCKETS x languages: embedding times softmax weights, as both are linear; or the embedding, if soft is given
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    soft: np.ndarray | None = None  # softmax weights, apart where they are more than the embedding has columns
 
     def logits(self, text: str) -> np.ndarray:
         """Mean over all n-grams; a long text is taken in pieces that overlap by the longest n-gram less one."""
         raw = _bytes(text)
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for a in range(0, max(1, len(raw)), BLOCK_BYTES):
             for size in GRAMS:
                 b = _of_size(raw[a : a + BLOCK_BYTES + size - 1], size)
                 total += self.table[b].sum(axis=0)
                 n += len(b)
-        return total / max(n, 1) + self.bias
+        mean = total / max(n, 1)
+        return (mean if self.soft is None else mean @ self.soft) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, accepted."""
@@ -88,14 +91,13 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, learn) -> list[tuple[np.ndarray, np.ndarray, str]]:
-    """Features and language of at most SAMPLE documents a language, spread by a hash of their ids. The features are
-    made on the executors; only languages' counts and the sample's features reach the driver."""
+    """Features and language of about SAMPLE documents a language, fewer of each (one at least) beyond LANGUAGES languages,
+    spread by a hash of their ids. The features are made on the executors; only the sample's features reach the driver."""
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     h = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000_000))
-    below = F.lit(-1)
-    for r in counts:
-        below = F.when(F.col("lang") == r.lang, int(1e9 * min(1.0, SAMPLE / r.n))).otherwise(below)
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("first"))
+    each_gets = min(SAMPLE, SAMPLE * LANGUAGES / max(1, counts.count()))
+    below = counts.select("lang", F.greatest((1e9 * F.least(F.lit(1.0), each_gets / F.col("n"))).cast("long"), F.col("first") + 1).alias("below"))
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -104,7 +106,7 @@ def sample(docs: DataFrame, learn) -> list[tuple[np.ndarray, np.ndarray, str]]:
 
         return each
 
-    drawn = map_arrow(known.where(h < below).select(h.alias("h"), "lang", "text"), "h long, lang string, b array<int>, w array<float>", make).toArrow()
+    drawn = map_arrow(known.join(below, "lang").where(h < F.col("below")).select(h.alias("h"), "lang", "text"), "h long, lang string, b array<int>, w array<float>", make).toArrow()
     order = np.lexsort((drawn["lang"].to_numpy(zero_copy_only=False).astype(str), drawn["h"].to_numpy()))
     return [(drawn["b"][i].values.to_numpy(), drawn["w"][i].values.to_numpy(), drawn["lang"][i].as_py()) for i in order.tolist()]
 
@@ -116,7 +118,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Mode
     if not n_lang:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rng = np.random.default_rng(seed)
-    seen = [(b, w, languages.index(lang)) for b, w, lang in rows]
+    number = {lang: k for k, lang in enumerate(languages)}
+    seen = [(b, w, number[lang]) for b, w, lang in rows]
     held = [x for i, x in enumerate(seen) if i % 8 == 0] if len(seen) >= 40 else seen
     fit = [x for i, x in enumerate(seen) if i % 8] if len(seen) >= 40 else seen
     table, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.1, (DIM, n_lang)).astype(np.float32), np.zeros(n_lang, np.float32)
@@ -135,14 +138,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Mode
             for (b, w, _), d in zip(batch, back, strict=True):
                 table[b] -= 20 * rate * w[:, None] * d  # each text moves its own rows
             step += 1
-    both = (table @ soft).astype(np.float64)
-    z = np.stack([w @ both[b] + bias for b, w, _ in held])
+    apart = soft.astype(np.float64) if n_lang > DIM else None
+    both = (table @ soft if apart is None else table).astype(np.float64)
+    z = np.stack([w @ both[b] for b, w, _ in held])
+    z = (z if apart is None else z @ apart) + bias
     y = np.array([k for _, _, k in held])
     loss = lambda t: -float(np.mean(np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-300)))
     temperature = min((float(t) for t in np.geomspace(0.01, 5, 80)), key=loss)
     top = _softmax(z / temperature).max(axis=1)
     threshold = min(0.5, float(np.quantile(top, REJECT)) * 0.999)
-    return Model(languages, both, bias.astype(np.float64), temperature, threshold)
+    return Model(languages, both, bias.astype(np.float64), temperature, threshold, apart)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:

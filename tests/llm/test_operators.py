@@ -313,6 +313,16 @@ def test_language(spark, docs, nothing):
     assert langid.classify(nothing).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "SAMPLE", 4)
+    rows = [(100 * k + i, f"word{k} text{k} " * 5, f"l{k:02}") for k in range(15) for i in range(20 if k < 3 else 6)]
+    drawn = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert {lang for *_, lang in drawn} == {f"l{k:02}" for k in range(15)} and len(drawn) < 40
+    model = langid.train(drawn)
+    assert len(model.languages) == 15 and model.predict("word14 text14")[0] in model.languages
+
+
 # ------------------------------------------------------------------ 7
 
 
