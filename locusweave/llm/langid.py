@@ -106,7 +106,7 @@ def sample(docs: DataFrame, learn) -> list[tuple[np.ndarray, np.ndarray, str]]:
 
         return each
 
-    drawn = map_arrow(known.join(below, "lang").where(h < F.col("below")).select(h.alias("h"), "lang", "text"), "h long, lang string, b array<int>, w array<float>", make).toArrow()
+    drawn = map_arrow(known.join(F.broadcast(below), "lang").where(h < F.col("below")).select(h.alias("h"), "lang", "text"), "h long, lang string, b array<int>, w array<float>", make).toArrow()
     order = np.lexsort((drawn["lang"].to_numpy(zero_copy_only=False).astype(str), drawn["h"].to_numpy()))
     return [(drawn["b"][i].values.to_numpy(), drawn["w"][i].values.to_numpy(), drawn["lang"][i].as_py()) for i in order.tolist()]
 
