@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one block of documents holds at most (one longer document is a block of its own).
 BLOCK_BYTES = 2_000_000
+#: Keys with over one row in so many are joined by broadcast (there are no more than so many of them).
+SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, counted: DataFrame, how: str = "inner", total: int | None = None) -> DataFrame:
+    """left joined with right (one row per key at most) where few keys may hold most of left's rows. counted is a written
+    table that has left's keys as often as left: keys of over 1 / SHARE of its rows, SHARE at most, are joined with
+    their rows of right by broadcast, all others by the plan that Spark chooses."""
+    per = counted.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(64, (counted.count() if total is None else total) // SHARE))
+    hot = [r[0] for r in per.where(F.col(key).isNotNull()).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    common = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return left.where(common).join(F.broadcast(right.where(common)), key, how).unionByName(left.where(~common).join(right.where(~common), key, how))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that df doesn't have yet."""
     taken, out = {c.lower() for c in df.columns}, []

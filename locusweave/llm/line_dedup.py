@@ -22,18 +22,19 @@ document, and so are rows without doc_id that have the same text; texts of one v
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations, pairwise, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import fresh, materialize
+from locusweave.llm.common import fresh, materialize, spread_join
 from locusweave.llm.graph import components
 
-THRESHOLD, SHORT, HOT = 2, 20, 1024
-#: One line in so many is looked at for keys over HOT; ids that are broadcast at most (8 bytes each).
-SAMPLED, BROADCAST = 16, 4_000_000
+THRESHOLD, SHORT, HOT = 2, 20, 256
+#: One line in so many is looked at for keys over HOT.
+SAMPLED = 16
 #: Letters whose counts travel with the keys: edits of at most k characters change them by at most 2 k together.
 COUNTED = "enatiorshdlucmpg"
 #: Pieces of a line of which all but one per edit must occur near their place in the other.
@@ -49,10 +50,9 @@ PLACE_BITS, MANY = 28, 0xFFFF
 
 
 def document() -> Column:
-    """What names a row's document, in the order in which documents keep their lines: those without doc_id come last and
-    are told apart by their texts."""
-    none = F.col("doc_id").isNull()
-    return F.struct(none.alias("none"), F.col("doc_id"), F.when(none, F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("text_id"))
+    """What names a row's document, in the order in which documents keep their lines: by doc_id, those without one last,
+    and by a number of the text where a doc_id repeats."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("text_id"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def _keys(lines: DataFrame, ways: list[tuple[int, tuple[int, ...], tuple[int, ..
         start = start + F.col(f"w.s{c}")
         fits &= (start >= 1) & (start + size - 1 <= F.col("len"))
         texts.append(F.substring("norm", start, size))
-    return each.where(fits).select("id", "counts", F.xxhash64("other", *(F.col(f"w.i{c}") for c in range(matched)), *texts).alias("key"))
+    return each.where(fits).select("id", F.col("counts").alias("about"), F.xxhash64("other", *(F.col(f"w.i{c}") for c in range(matched)), *texts).alias("key"))
 
 
 def index_keys(lines: DataFrame, threshold: int = THRESHOLD, matched: int = 1) -> DataFrame:
@@ -176,41 +176,75 @@ def _bit(value: Column, place: Column) -> Column:
     return F.call_function("getbit", value, place).cast("int")
 
 
-def _meet(index: DataFrame, probe: DataFrame, threshold: int) -> DataFrame:
-    a, b = (d.withColumnsRenamed({"id": n, "counts": f"_{n}"}) for d, n in ((index, "a"), (probe, "b")))
-    met = b.join(a.hint("shuffle_hash"), "key").where((F.col("a") != F.col("b")) & (counts_apart(F.col("_a"), F.col("_b")) <= 2 * threshold))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _pairs(a: DataFrame, b: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
+    """a, b: the ids of rows (id, about, key) that share a key and may be near by what they say about their lines."""
+    left, right = (d.select(F.col("id").alias(n), F.col("about").alias(f"_{n}"), "key") for d, n in ((a, "a"), (b, "b")))
+    met = right.join(left.hint("shuffle_hash"), "key").where((F.col("a") != F.col("b")) & near(F.col("_a"), F.col("_b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def candidates(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
-    """lines: id, norm, len. Returns a, b: ids of unlike lines that share a segment and may be within the threshold."""
-    long = lines.where(F.col("len") >= short).withColumn("counts", letter_counts(F.col("norm")))
-    index, probe = index_keys(long, threshold), probe_keys(long, threshold)
-    # keys of very many lines show in a sample of the lines; what it misses is joined like the rest
-    sample = index_keys(long.where(F.pmod("id", F.lit(SAMPLED)) == 0), threshold)
-    hot = materialize(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > HOT).select("key"), "hot")
+def _links_by_key(lines: DataFrame, keyed: Callable, finer: Callable, near: Callable, verify: Callable, name: str) -> DataFrame:
+    """Links of lines (id, norm, weight, ...) that share a key. keyed(lines) and finer(lines) give two tables (id, about,
+    key), of lines as the indexed and as the probing side (the same table, if there is no difference); every pair that is to be linked shares a key of
+    either. Keys of few lines are joined. A key of more than HOT lines (they show in a sample; what it misses is joined
+    like the rest) would make all pairs of its group: there every line is held against the commonest line only. Lines
+    that are linked with it are of one class, whatever other links they have; what is not linked with it is held
+    against the key's lines once more, by finer keys."""
+    hot = materialize(keyed(lines.where(F.pmod("id", F.lit(SAMPLED)) == 0))[0].groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > HOT).select("key"), f"{name}hot")
+    index, probe = keyed(lines)
     if hot.isEmpty():
-        met = _meet(index, probe, threshold)
-    else:
-        again = long.join(index.unionByName(probe).join(hot, "key", "left_semi").select("id").distinct(), "id", "left_semi")
-        met = _meet(index.join(hot, "key", "left_anti"), probe, threshold).unionByName(_meet(index_keys(again, threshold, 2), probe_keys(again, threshold, 2), threshold))
-    return materialize(met.distinct(), "met")
+        return verify(materialize(_pairs(index, probe, near), f"{name}met"))
+    cool = materialize(_pairs(index.join(hot, "key", "left_anti"), probe.join(hot, "key", "left_anti"), near), f"{name}met")
+    busy = index.join(hot, "key", "left_semi").select("key", "id", F.lit(True).alias("indexed"))
+    if probe is not index:
+        busy = busy.unionByName(probe.join(hot, "key", "left_semi").select("key", "id", F.lit(False).alias("indexed")))
+    busy = materialize(busy.groupBy("key", "id").agg(F.max("indexed").alias("indexed")), f"{name}busy")
+    weighed = spread_join(busy.where("indexed"), lines.select("id", "weight"), "id", busy)
+    centre = materialize(weighed.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("most")).select("key", F.col("most.id").alias("centre")), f"{name}centre")
+    rays = spread_join(busy.select("key", "id"), centre, "key", busy).where("id <> centre")
+    rays = materialize(rays.select("key", "id", F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")), f"{name}rays")
+    found = materialize(verify(materialize(cool.unionByName(rays.select("a", "b").distinct()), f"{name}star")), f"{name}linked")
+    left = materialize(rays.join(found, ["a", "b"], "left_anti").select("key", "id"), f"{name}left")
+    again = busy.select("key", "id").join(left.select("key").distinct(), "key", "left_semi").select("id").distinct()
+    again = again.join(left.select("id", F.lit(True).alias("alone")).distinct(), "id", "left")
+    again = materialize(lines.join(again, "id").withColumn("alone", F.coalesce("alone", F.lit(False))), f"{name}again")
+    alone = again.where("alone")
+    (index, probe), (some, others) = finer(again), finer(alone)
+    rest = _pairs(index, others, near)
+    if probe is not index:
+        rest = rest.unionByName(_pairs(some, probe, near)).distinct()
+    return found.unionByName(verify(materialize(rest.join(found, ["a", "b"], "left_anti"), f"{name}rest")))
+
+
+def _by_segments(threshold: int, matched: int) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
+    return lambda lines: (index_keys(lines, threshold, matched), probe_keys(lines, threshold, matched))
 
 
-def verify(met: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
-    """The candidates (a, b) that are linked. lines: id, norm, len, ids may repeat. Only lines that met another are
-    looked at; their ids are broadcast up to BROADCAST of them, and joined by a shuffle beyond."""
-    ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ends = F.broadcast(ends) if met.count() <= BROADCAST // 2 else ends
-    few = lines.join(ends, "id", "left_semi").select("id", "norm", "len").distinct()
-    left, right = few.toDF("a", "s", "m"), few.toDF("b", "t", "n")
-    pairs = met.join(left, "a").join(right, "b").where((F.abs(F.col("m") - F.col("n")) <= threshold) & may_be_near(F.col("s"), F.col("t"), threshold))
-    return pairs.where(edit_distance(F.col("s"), F.col("t"), threshold) <= allowed(F.least("m", "n"), threshold, short)).select("a", "b")
+def links(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
+    """lines: id, norm, len, weight. Returns a, b: links of unlike lines within the threshold, all of them but for those between lines that are linked
+    with the commonest line of a key of over HOT lines."""
+    long = lines.where(F.col("len") >= short).withColumn("counts", letter_counts(F.col("norm")))
+    near = lambda a, b: counts_apart(a, b) <= 2 * threshold
+    return _links_by_key(long, _by_segments(threshold, 1), _by_segments(threshold, 2), near, lambda met: verify(met, lines, threshold, short), "edits")
 
 
-def links(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
-    """lines: id, norm, len. Returns a, b: the ids of unlike lines within the threshold."""
-    return verify(candidates(lines, threshold, short), lines, threshold, short)
+def _both(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """met (a written table): a, b. Joined with lines (id first): its columns once as a, x1, x2, ... and once as b, y1, y2, ..."""
+    x, y = (lines.toDF(e, *(f"{v}{i}" for i in range(1, len(lines.columns)))) for e, v in (("a", "x"), ("b", "y")))
+    one = materialize(spread_join(met, x, "a", met), "one")
+    return spread_join(one, y, "b", one)
+
+
+def _few(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines that met another. lines: one row per id."""
+    return lines.join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+
+
+def verify(met: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
+    """The candidates (a, b), a written table, that are linked. lines: id, norm, len."""
+    pairs = _both(met, materialize(_few(met, lines).select("id", "norm", "len"), "few"))
+    pairs = pairs.where((F.abs(F.col("x2") - F.col("y2")) <= threshold) & may_be_near(F.col("x1"), F.col("y1"), threshold))
+    return pairs.where(edit_distance(F.col("x1"), F.col("y1"), threshold) <= allowed(F.least("x2", "y2"), threshold, short)).select("a", "b")
 
 
 def _words(norm: Column) -> Column:
@@ -263,82 +297,88 @@ def word_keys(lines: DataFrame) -> DataFrame:
     return each.select("id", F.col("k.about").alias("about"), F.explode("k.keys").alias("key"))
 
 
-def word_candidates(lines: DataFrame) -> DataFrame:
-    """lines: id, norm. Returns a, b: ids of unlike lines that share a run and may differ by the allowed words at most."""
+def all_runs(lines: DataFrame) -> DataFrame:
+    """id, about, key: every run of as many words as must be unchanged, dealt by length: finer keys than those of word_keys."""
+    n = F.col("n")
+    counted = lines.select("id", _n_words(F.col("norm")).alias("n"), F.transform(_words(F.col("norm")), lambda w: F.xxhash64(w)).alias("x"))
+    bucket = lambda v: F.floor(F.log(v.cast("double")) * 20).cast("int")
+    shorter = F.sequence(n - words_allowed(n), n)
+    parts = F.array_distinct(F.transform(shorter, lambda m: F.struct(_run_class(m).alias("which"), bucket(m).alias("part"))))
+    parts = counted.where(n >= RUNS[0][0]).select("id", "n", "x", F.explode(parts).alias("p")).where("p.which >= 0")
+    size = F.get(F.array(*(F.lit(agree + window - 1) for _, agree, window in RUNS)), F.col("p.which"))
+    odd = F.aggregate("x", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(v, F.lit(48))).cast("int") + 16)))
+    about = odd.bitwiseOR(F.least(n, F.lit(MANY)).cast("long"))
+    keys = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64("p", F.slice("x", i, size)))
+    return parts.select("id", about.alias("about"), F.explode(F.array_distinct(keys)).alias("key"))
+
+
+def word_links(lines: DataFrame) -> DataFrame:
+    """lines: id, norm, weight. Returns a, b: links of unlike lines by their words, as links() has them."""
     n = lambda about: about.bitwiseAND(F.lit(MANY)).cast("int")
-    sample = word_keys(lines.where(F.pmod("id", F.lit(SAMPLED)) == 0))
-    hot = materialize(sample.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") * SAMPLED > HOT).select("key", F.lit(True).alias("hot")), "hot")
-    every = word_keys(lines)
-    if not hot.isEmpty():
-        # keys of very many lines are parted by length: the shorter line's is among those that the longer one takes
-        bucket = lambda x: F.floor(F.log(x.cast("double")) * 20).cast("int")
-        parts = F.when(F.col("hot"), F.sequence(bucket(n(F.col("about")) - words_allowed(n(F.col("about")))), bucket(n(F.col("about"))))).otherwise(F.array(F.lit(-1)))
-        every = every.join(hot, "key", "left").select("id", "about", F.explode(parts).alias("part"), "key").select("id", "about", F.when(F.col("part") < 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"))
-    a, b = (every.withColumnsRenamed({"id": x, "about": f"_{x}"}) for x in ("a", "b"))
-    shorter, apart = F.least(n(F.col("_a")), n(F.col("_b"))), F.abs(n(F.col("_a")) - n(F.col("_b")))
-    odd = F.bit_count(F.shiftrightunsigned(F.col("_a").bitwiseXOR(F.col("_b")), 16))
-    may = (shorter == MANY) | (apart <= words_allowed(shorter)) & (odd <= 2 * words_allowed(shorter))
-    met = b.join(a.hint("shuffle_hash"), "key").where((F.col("a") < F.col("b")) & may)
-    return materialize(met.select("a", "b").distinct(), "wordsmet")
+
+    def near(a: Column, b: Column) -> Column:
+        shorter, apart = F.least(n(a), n(b)), F.abs(n(a) - n(b))
+        odd = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 16))
+        return (shorter == MANY) | (apart <= words_allowed(shorter)) & (odd <= 2 * words_allowed(shorter))
+
+    def twice(make: Callable[[DataFrame], DataFrame]) -> Callable:
+        return lambda lines: (made := make(lines), made)
+
+    return _links_by_key(lines, twice(word_keys), twice(all_runs), near, lambda met: verify_words(met, lines), "words")
 
 
 def verify_words(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """The candidates (a, b) that are linked by their words. Each word is written as one character, by two hashes: the
-    distance of such texts is never over that of the words, and below it only where both hashes fall together."""
-    ends = met.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ends = F.broadcast(ends) if met.count() <= BROADCAST // 2 else ends
+    """The candidates (a, b), a written table, that are linked by their words. Each word is written as one character, by
+    two hashes: the distance of such texts is never over that of the words, and below it only where both hashes fall
+    together."""
 
     def written(seed: int) -> Column:
         code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(F.lit(seed), w), F.lit(0xD000)) + 0x100), 4, "0")
         return F.decode(F.unhex(F.array_join(F.transform(_words(F.col("norm")), code), "")), "UTF-16BE")
 
-    few = lines.join(ends, "id", "left_semi").select("id", "norm").distinct()
-    few = few.select("id", written(1).alias("s"), written(2).alias("z"), _n_words(F.col("norm")).alias("n"))
-    few = materialize(few, "written")
-    pairs = met.join(few.toDF("a", "s", "y", "m"), "a").join(few.toDF("b", "t", "z", "n"), "b")
-    most = words_allowed(F.least("m", "n"))
+    few = _few(met, lines).select("id", written(1).alias("s"), written(2).alias("z"), _n_words(F.col("norm")).alias("n"))
+    pairs = _both(met, materialize(few, "written"))
+    most = words_allowed(F.least("x3", "y3"))
     within = lambda x, y: F.call_function("levenshtein", F.col(x), F.col(y), most) >= 0
-    return pairs.where((most > 0) & within("s", "t")).where(within("y", "z")).select("a", "b")
+    return pairs.where((most > 0) & within("x1", "y1")).where(within("x2", "y2")).select("a", "b")
 
 
-def all_links(distinct: DataFrame, lines: DataFrame) -> DataFrame:
-    """a, b: the ids of unlike lines that are linked by either rule. distinct, lines: id, norm, len; ids of lines may repeat."""
-    short = distinct.where(_n_words(F.col("norm")) < LONG)
-    by_edits = verify(candidates(short), lines)
-    return by_edits.unionByName(verify_words(word_candidates(distinct), lines)).distinct()
+def all_links(lines: DataFrame) -> DataFrame:
+    """lines: id, norm, len, weight (how often it occurs), one row per id. Returns a, b: links of unlike lines by either rule (see links())."""
+    return links(lines.where(_n_words(F.col("norm")) < LONG)).unionByName(word_links(lines)).distinct()
 
 
 def classified(docs: DataFrame) -> DataFrame:
-    """doc, pos, line_id, class_id, n_links: for every line that is not blank the number of its text, the least such
-    number of its class, and how many other texts it is linked with."""
+    """doc, pos, line_id, class_id, n_texts: for every line that is not blank the number of its text, the least such
+    number of its class, and how many different texts the class has. A written table."""
     every = occurrences(docs)
-    measured = lambda d: d.select("norm", F.xxhash64("norm").alias("id"), F.char_length("norm").alias("len"))
-    texts = materialize(measured(every.select("norm").distinct()), "texts")
-    near = materialize(all_links(texts, texts), "links")
-    degree = near.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = components(near).join(degree, "node").withColumnRenamed("node", "line_id")
-    named = every.select("doc", "pos", F.xxhash64("norm").alias("line_id")).join(linked, "line_id", "left")
-    return named.select("doc", "pos", "line_id", F.coalesce("root", "line_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    texts = every.groupBy("norm").agg(F.count("*").alias("weight")).select(F.xxhash64("norm").alias("id"), "norm", F.char_length("norm").alias("len"), "weight")
+    near = all_links(materialize(texts, "texts"))
+    linked = materialize(components(near).toDF("line_id", "class_id"), "linked")
+    linked = materialize(spread_join(linked, linked.groupBy("class_id").agg(F.count("*").alias("n_texts")), "class_id", linked), "sized")
+    named = materialize(every.select("doc", "pos", F.xxhash64("norm").alias("line_id")), "every")
+    found = spread_join(named, linked, "line_id", named, "left")
+    return materialize(found.select("doc", "pos", "line_id", F.coalesce("class_id", "line_id").alias("class_id"), F.coalesce("n_texts", F.lit(1).cast("long")).alias("n_texts")), "lines")
 
 
 def _removed(lines: DataFrame) -> DataFrame:
     """lines: those of classified(). doc, removed (positions of the lines that go, sorted): the documents that lose any."""
-    repeated = lines.groupBy("class_id").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max(F.struct("doc", "pos")).alias("last")).where("first <> last")
-    gone = lines.join(repeated, "class_id").where(F.struct("doc", "pos") != F.col("first"))
+    first = lines.groupBy("class_id").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("class_id", "first")
+    gone = spread_join(lines, first, "class_id", lines).where(F.struct("doc", "pos") != F.col("first"))
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc (see document()), removed (positions of the lines that go, sorted): the documents that lose any."""
-    return _removed(materialize(classified(docs), "lines"))
+    return _removed(classified(docs))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed_lines (positions, comma-joined), lines (pos, line_id, class_id, n_links of every
+    """doc_id, n_lines, n_removed, removed_lines (positions, comma-joined), lines (pos, line_id, class_id, n_texts of every
     line that is not blank, by position; see classified()): one row per row of docs."""
     counted = docs.select(document().alias("doc"), "doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
-    named = materialize(classified(docs), "lines")
-    lines = named.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "line_id", "class_id", "n_links"))).alias("lines"))
+    named = classified(docs)
+    lines = named.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("pos", "line_id", "class_id", "n_texts"))).alias("lines"))
     found = counted.join(_removed(named), "doc", "left").join(lines, "doc", "left")
     return found.select(
         "doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"),
