@@ -1,28 +1,28 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-Lines (trimmed, lower-cased, not empty) are grouped by their text; unlike lines are linked if few edits apart: none
-below SHORT characters, one below twice that, THRESHOLD from there, by the shorter line's length. A line of length l
-is cut into THRESHOLD + 1 even segments, of which a line within the threshold must hold one unchanged; every line
-probes the segments of its own and the shorter lengths at the starts where an alignment of that many edits can put
-them (the multi-match-aware windows). What meets is verified by Hyyro's banded bit-parallel edit distance.
+Lines (trimmed, lower-cased, not empty) are grouped by their text; unlike lines are linked if few edits apart, by the
+number of units of the shorter one (THRESHOLDS): units are words from MANY_WORDS words on, and characters below. A
+line of n units at which t edits are allowed is cut into t + 1 even segments, of which a line within t edits must hold
+one unchanged. Its segments are indexed by n, by their number and by their text; every line probes the segments of lines as long
+as itself and up to t units shorter, at the starts where an alignment of that many edits can put them (the
+multi-match-aware windows). For the keys units are written as numbers of equal size, so that a segment is a range of
+bytes. What meets is verified by Hyyro's banded bit-parallel edit distance over the units themselves.
 Of each class of linked lines the first occurrence (least doc_id, null last, then position) stays.
 
-Longer lines are also linked by their words: at most one word in WORDS_AN_EDIT of the shorter line may be replaced, left
-out or added, so that what is allowed grows with the line. Of n words some run of (n - k) / (k + 1) is then unchanged
-by k such edits; every window of that many words names one of its words (the longest one, by a hash among equals),
-and lines meet by the words from there on: the same words are named in both, wherever they stand. What meets is
-verified by the edit distance over words. Lines of LONG words or more need no segments: two edits change four words.
+A key of more than HOT lines would make all pairs of its group. There every line is held against the commonest line
+only, and lines that are linked with it are of one class whatever other links they have; a line that is not is held
+against all lines of the key, unless the words that they have an odd number of times tell that they are apart. The
+classes are those of all links.
 
-Lines with a segment that more than HOT lines share are joined by pairs of segments instead: of THRESHOLD + 2
-segments at least two are unchanged. Both ways find every pair, so none is lost between them.
+Four edits are the most, however long the line, as the substrings to probe grow with the cube of the threshold.
 
-Defined results: null and empty texts have no lines; blank lines are always kept; rows that repeat a doc_id are one
-document, and so are rows without doc_id that have the same text; texts of one very long line are lines like any other; an empty table gives no rows; other columns stay.
+Defined results: null and empty texts have no lines; blank lines are always kept; rows with the same doc_id and text
+are one document, rows that repeat a doc_id with other texts are not; texts of one very long line are lines like any
+other; of equal lines in one document the first stays; an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from itertools import combinations, pairwise, product
 
@@ -32,21 +32,17 @@ from pyspark.sql import functions as F
 from locusweave.llm.common import fresh, materialize, spread_join
 from locusweave.llm.graph import components
 
-THRESHOLD, SHORT, HOT = 2, 20, 256
-#: One line in so many is looked at for keys over HOT.
-SAMPLED = 16
-#: Letters whose counts travel with the keys: edits of at most k characters change them by at most 2 k together.
-COUNTED = "enatiorshdlucmpg"
-#: Pieces of a line of which all but one per edit must occur near their place in the other.
-PIECES = 8
-#: Words of the shorter line for each word that may differ; words from which two edits of characters are among these
-#: (four words, and a line that is longer by two).
-WORDS_AN_EDIT, LONG = 10, 42
-#: By the shorter line's words, from: words that must agree, and words of a window of which one is named. Together, less
-#: one, they are the longest run that must be unchanged: 9 t / (t + 1) words, rounded up, for t edits.
-RUNS = ((10, 3, 3), (20, 4, 3), (40, 5, 4))
-#: Low bits of a named word's number that hold its place in the line.
-PLACE_BITS, MANY = 28, 0xFFFF
+#: Words from which a line's units are words.
+MANY_WORDS = 10
+#: Edits allowed from so many units of the shorter line on: of words, of characters. Of n words k may be replaced before
+#: two lines share less than 0.8 of their runs of five if n >= 45 k + 4; shorter lines may differ by more than that.
+THRESHOLDS = {"word": ((10, 2), (30, 3), (184, 4)), "char": ((20, 1), (40, 2))}
+MOST = 4
+#: Lines of a key that are held against each other; one line in so many is looked at for keys over that; blocks in
+#: which a key's lines are held against those that are left over.
+HOT, SAMPLED, BLOCKS = 256, 16, 16
+#: Bytes of a unit's number.
+WIDTH = {"word": 5, "char": 4}
 
 
 def document() -> Column:
@@ -61,9 +57,39 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("doc", "pos", F.lower(F.trim("line")).alias("norm")).where("norm <> ''")
 
 
-def allowed(length: Column, threshold: int = THRESHOLD, short: int = SHORT) -> Column:
-    """Edits at which a line of this length is still linked."""
-    return F.least(F.lit(threshold), F.floor(length / short).cast("int"))
+def allowed(kind: Column, n: Column) -> Column:
+    """Edits at which a line of n units, as the shorter one, is still linked (0: none)."""
+    each = {k: sum(((n >= start).cast("int") * (t - before) for (_, before), (start, t) in pairwise(((0, 0), *steps))), F.lit(0)) for k, steps in THRESHOLDS.items()}
+    return F.when(kind == "word", each["word"]).otherwise(each["char"])
+
+
+def _spaced(norm: Column) -> Column:
+    """With single blanks between words."""
+    return F.translate(norm, "\t\r\f\v", "    ")
+
+
+def _n_words(norm: Column) -> Column:
+    """What stands between blanks and tabs (an empty word between two of them)."""
+    return F.octet_length(norm) - F.octet_length(F.translate(norm, " \t\r\f\v", "")) + 1
+
+
+def _units(kind: Column, norm: Column) -> Column:
+    return F.when(kind == "word", F.split(_spaced(norm), " ")).otherwise(F.split(norm, ""))
+
+
+def measured(lines: DataFrame) -> DataFrame:
+    """lines (id, norm) as id, norm, kind, n, once for each kind of units by which the line may be linked: lines of a few words more than
+    those that are linked by characters may be linked with these."""
+    words, chars = _n_words(F.col("norm")), F.char_length("norm")
+    reach = max(t for _, t in THRESHOLDS["char"])
+    kinds = F.array_compact(F.array(F.when(words >= MANY_WORDS, F.struct(F.lit("word").alias("kind"), words.alias("n"))), F.when(words < MANY_WORDS + reach, F.struct(F.lit("char").alias("kind"), chars.alias("n")))))
+    return lines.select("id", "norm", F.explode(kinds).alias("k")).select("id", "norm", "k.kind", "k.n").where(allowed(F.col("kind"), F.col("n")) > 0)
+
+
+def _numbers(kind: Column, norm: Column) -> Column:
+    """The line's units as numbers of WIDTH bytes: 36 bits of a hash of each word, each character as it is."""
+    number = lambda w: F.hex(F.shiftrightunsigned(F.xxhash64(w), 28).bitwiseOR(F.lit(1 << 36)))
+    return F.when(kind == "word", F.unhex(F.array_join(F.transform(F.split(_spaced(norm), " "), number), ""))).otherwise(F.encode(norm, "UTF-32"))
 
 
 def _segment(length: Column, i: Column | int, parts: int) -> tuple[Column, Column]:
@@ -74,75 +100,56 @@ def _segment(length: Column, i: Column | int, parts: int) -> tuple[Column, Colum
     return (i - 1) * base + longer + 1, base + (i > parts - rest).cast("int")
 
 
-def letter_counts(norm: Column) -> Column:
-    """Counts of the letters of COUNTED, modulo 16 each, in the half-bytes of one number."""
-    n = F.octet_length(norm)
-    parts = [F.shiftleft(((n - F.octet_length(F.replace(norm, F.lit(c)))) % 16).cast("long"), 4 * i) for i, c in enumerate(COUNTED)]
-    return reduce(lambda x, y: x.bitwiseOR(y), parts)
-
-
-def counts_apart(a: Column, b: Column) -> Column:
-    """A lower bound of twice the number of edits, from two lines' letter counts."""
-    each = []
-    for i in range(len(COUNTED)):
-        d = F.abs(F.shiftrightunsigned(a, 4 * i).bitwiseAND(15) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(15))
-        each.append(F.least(d, 16 - d))
-    return reduce(lambda x, y: x + y, each)
-
-
-def _keys(lines: DataFrame, ways: list[tuple[int, tuple[int, ...], tuple[int, ...]]], parts: int) -> DataFrame:
-    """id, counts, key: for every way (how much shorter the indexed line is, which of its segments, how far each is
-    shifted) the hash of those substrings. The ways are rows first, so that the hashing is one short expression."""
-    matched = len(ways[0][1])
-    way = F.array(*(F.struct(F.lit(gap).alias("gap"), *(F.lit(i).alias(f"i{c}") for c, i in enumerate(chosen)), *(F.lit(x).alias(f"s{c}") for c, x in enumerate(shifts))) for gap, chosen, shifts in ways))
-    each = lines.select("id", "counts", "norm", "len", F.explode(way).alias("w"))
-    each = each.withColumn("other", F.col("len") - F.col("w.gap"))
-    fits, texts = F.lit(True), []
-    for c in range(matched):
-        start, size = _segment(F.col("other"), F.col(f"w.i{c}"), parts)
-        start = start + F.col(f"w.s{c}")
-        fits &= (start >= 1) & (start + size - 1 <= F.col("len"))
-        texts.append(F.substring("norm", start, size))
-    return each.where(fits).select("id", F.col("counts").alias("about"), F.xxhash64("other", *(F.col(f"w.i{c}") for c in range(matched)), *texts).alias("key"))
-
-
-def index_keys(lines: DataFrame, threshold: int = THRESHOLD, matched: int = 1) -> DataFrame:
-    """id, counts, key: of each line's threshold + matched segments every choice of `matched`."""
-    parts = threshold + matched
-    return _keys(lines, [(0, chosen, (0,) * matched) for chosen in combinations(range(1, parts + 1), matched)], parts)
-
-
-def probe_keys(lines: DataFrame, threshold: int = THRESHOLD, matched: int = 1) -> DataFrame:
-    """id, counts, key: the substrings that may be the chosen segments of a line as long or shorter. Segments may be
-    shifted so far that the edits before, between and after them still number at most the threshold."""
-    parts, ways = threshold + matched, []
-    for gap in range(threshold + 1):
-        for chosen in combinations(range(1, parts + 1), matched):
-            for shifts in product(range(-threshold, threshold + 1), repeat=matched):
-                steps = [shifts[0], *(q - p for p, q in pairwise(shifts)), gap - shifts[-1]]
-                if sum(map(abs, steps)) <= threshold and (matched > 1 or abs(steps[0]) <= chosen[0] - 1 and abs(steps[1]) <= parts - chosen[0]):
-                    ways.append((gap, chosen, shifts))
-    return _keys(lines, ways, parts)
-
-
-def may_be_near(a: Column, b: Column, threshold: int) -> Column:
-    """Whether all pieces of a but one per edit occur in b, at most `threshold` places off: cheap, and true of all pairs
-    within the threshold."""
-    n = F.char_length(a)
-    found = []
-    for i in range(1, PIECES + 1):
-        start, size = _segment(n, i, PIECES)
-        low = F.greatest(start - threshold, F.lit(1))
-        found.append(F.contains(F.substring(b, low, start + size + threshold - low), F.substring(a, start, size)).cast("int"))
-    return reduce(lambda x, y: x + y, found) >= PIECES - threshold
-
-
-def edit_distance(a: Column, b: Column, most: int) -> Column:
-    """Edit distance of two texts of at least `most` characters whose lengths differ by at most `most`; some larger
+def _ways(threshold: int) -> list[tuple[int, int, int, int]]:
+    """Threshold, how much shorter the indexed line is, which of its segments, how far it is shifted in the probing line:
+    so far that the edits before and after it still number at most the threshold."""
+    ways = []
+    for gap, segment, shift in product(range(threshold + 1), range(1, threshold + 2), range(-threshold, threshold + 1)):
+        if abs(shift) + abs(gap - shift) <= threshold and abs(shift) <= segment - 1 and abs(gap - shift) <= threshold + 1 - segment:
+            ways.append((threshold, gap, segment, shift))
+    return ways
+
+
+def _keys(lines: DataFrame, probing: bool) -> DataFrame:
+    """id, key. lines: those of measured(). The ways are rows first, so that the hashing is one short expression."""
+
+    def rows(thresholds: tuple[int, ...]) -> Column:
+        ways = [w for t in thresholds for w in (_ways(t) if probing else [(t, 0, i, 0) for i in range(1, t + 2)])]
+        return F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("t", "gap", "i", "shift"), w, strict=True))) for w in ways))
+
+    kind, n = F.col("kind"), F.col("n")
+    most = allowed(kind, n)
+    lower = allowed(kind, n - most)  # that of some of the lines probed
+    way = F.lit(None)
+    for t in range(MOST, 0, -1):
+        if probing and t > 1:
+            way = F.when((most == t) & (lower == t - 1), rows((t, t - 1))).otherwise(way)
+        way = F.when((most == t) & ((lower != t - 1) | F.lit(not probing or t == 1)), rows((t,))).otherwise(way)
+    each = lines.select("id", "kind", "n", _numbers(kind, F.col("norm")).alias("units"), F.when(kind == "word", WIDTH["word"]).otherwise(WIDTH["char"]).alias("width"), F.explode(way).alias("w"))
+    other = n - F.col("w.gap")
+    start, size = _segment(other, F.col("w.i"), F.col("w.t") + 1)
+    start = start + F.col("w.shift")
+    fits = (allowed(kind, other) == F.col("w.t")) & (start >= 1) & (start + size - 1 <= n)
+    width = F.col("width")
+    return each.where(fits).select("id", F.xxhash64("kind", other, F.col("w.i"), F.substring(F.col("units"), (start - 1) * width + 1, size * width)).alias("key"))
+
+
+def index_keys(lines: DataFrame) -> DataFrame:
+    """id, key: the segments of each line."""
+    return _keys(lines, probing=False)
+
+
+def probe_keys(lines: DataFrame) -> DataFrame:
+    """id, key: the substrings that may be segments of a line as long or shorter."""
+    return _keys(lines, probing=True)
+
+
+def edit_distance(a: Column, b: Column, most: int = MOST) -> Column:
+    """Edit distance of two arrays of at least `most` elements whose lengths differ by at most `most`; some larger
     number if it is over `most`. A column of the distance matrix is kept as bits (where it rises and where it falls)
     over the 2 * most + 1 rows around the diagonal."""
     full = (1 << (2 * most + 1)) - 1
-    m, n = F.char_length(a), F.char_length(b)
+    m, n = F.size(a), F.size(b)
     no = lambda c: c.bitwiseXOR(F.lit(full))
 
     def step(state: Column, i: Column, equal: Column) -> Column:
@@ -162,12 +169,11 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
         return F.aggregate(F.array(d0), state, after)
 
     def columns(both: Column) -> Column:
-        x, y = both["x"], both["y"]
+        x, y = both["x"], both["y"]  # within a lambda the lines are cut once, not for every position
         equal = lambda i: sum((F.when(F.get(x, i + (j - most)) == F.get(y, i), 1 << j).otherwise(0) for j in range(2 * most + 1)), F.lit(0))
         return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), equal(i).alias("e")))
 
-    # within a lambda the characters are split once, not for every position
-    matches = F.flatten(F.transform(F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"))), columns))
+    matches = F.flatten(F.transform(F.array(F.struct(a.alias("x"), b.alias("y"))), columns))
     first = F.struct(F.lit(full & (full << most)).alias("up"), F.lit(0).alias("down"), F.lit(most).alias("cost"))
     return F.aggregate(matches, first, lambda s, c: step(s, c["i"], c["e"]), lambda s: s["cost"])
 
@@ -176,184 +182,65 @@ def _bit(value: Column, place: Column) -> Column:
     return F.call_function("getbit", value, place).cast("int")
 
 
-def _pairs(a: DataFrame, b: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
-    """a, b: the ids of rows (id, about, key) that share a key and may be near by what they say about their lines."""
-    left, right = (d.select(F.col("id").alias(n), F.col("about").alias(f"_{n}"), "key") for d, n in ((a, "a"), (b, "b")))
-    met = right.join(left.hint("shuffle_hash"), "key").where((F.col("a") != F.col("b")) & near(F.col("_a"), F.col("_b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _links_by_key(lines: DataFrame, keyed: Callable, finer: Callable, near: Callable, verify: Callable, name: str) -> DataFrame:
-    """Links of lines (id, norm, weight, ...) that share a key. keyed(lines) and finer(lines) give two tables (id, about,
-    key), of lines as the indexed and as the probing side (the same table, if there is no difference); every pair that is to be linked shares a key of
-    either. Keys of few lines are joined. A key of more than HOT lines (they show in a sample; what it misses is joined
-    like the rest) would make all pairs of its group: there every line is held against the commonest line only. Lines
-    that are linked with it are of one class, whatever other links they have; what is not linked with it is held
-    against the key's lines once more, by finer keys."""
-    hot = materialize(keyed(lines.where(F.pmod("id", F.lit(SAMPLED)) == 0))[0].groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > HOT).select("key"), f"{name}hot")
-    index, probe = keyed(lines)
-    if hot.isEmpty():
-        return verify(materialize(_pairs(index, probe, near), f"{name}met"))
-    cool = materialize(_pairs(index.join(hot, "key", "left_anti"), probe.join(hot, "key", "left_anti"), near), f"{name}met")
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def odd_words(norm: Column) -> Column:
+    """For 64 classes of words, as bits, whether the line has an odd number of them: a word that differs changes two at most."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(_spaced(norm), " "), F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(bit(w)))
+
+
+def verify(met: DataFrame, lines: DataFrame) -> DataFrame:
+    """The candidates (a, b), a written table, that are linked. lines: id, norm, one row per id."""
+    few = materialize(lines.select("id", "norm").join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "few")
+    one = materialize(spread_join(met, few.toDF("a", "x"), "a", met), "one")
+    pairs = spread_join(one, few.toDF("b", "y"), "b", one)
+    words = F.least(_n_words(F.col("x")), _n_words(F.col("y")))
+    pairs = pairs.withColumn("kind", F.when(words >= MANY_WORDS, "word").otherwise("char"))
+    n = lambda c: F.when(F.col("kind") == "word", _n_words(F.col(c))).otherwise(F.char_length(c))
+    most = allowed(F.col("kind"), F.least(n("x"), n("y")))
+    return pairs.where(F.abs(n("x") - n("y")) <= most).where(edit_distance(_units(F.col("kind"), F.col("x")), _units(F.col("kind"), F.col("y"))) <= most).select("a", "b")
+
+
+def links(lines: DataFrame) -> DataFrame:
+    """lines: id, norm, weight (how often it occurs), one row per id. Returns a, b: the links of unlike lines, all but
+    those between two lines that are linked with the commonest line of a key of over HOT lines."""
+    each = measured(lines)
+    index, probe = index_keys(each), probe_keys(each)
+    # keys of very many lines show in a sample; what it misses is joined like the rest
+    some = index_keys(measured(lines.where(F.pmod("id", F.lit(SAMPLED)) == 0)))
+    hot = materialize(some.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLED > HOT).select("key"), "hot")
+    none = hot.isEmpty()
+    cool = (index, probe) if none else (index.join(hot, "key", "left_anti"), probe.join(hot, "key", "left_anti"))
+    met = cool[1].withColumnRenamed("id", "b").join(cool[0].withColumnRenamed("id", "a").hint("shuffle_hash"), "key").where("a <> b")
+    met = materialize(met.select(*_ordered(F.col("a"), F.col("b"))).distinct(), "met")
+    if none:
+        return verify(met, lines)
     busy = index.join(hot, "key", "left_semi").select("key", "id", F.lit(True).alias("indexed"))
-    if probe is not index:
-        busy = busy.unionByName(probe.join(hot, "key", "left_semi").select("key", "id", F.lit(False).alias("indexed")))
-    busy = materialize(busy.groupBy("key", "id").agg(F.max("indexed").alias("indexed")), f"{name}busy")
-    weighed = spread_join(busy.where("indexed"), lines.select("id", "weight"), "id", busy)
-    centre = materialize(weighed.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("most")).select("key", F.col("most.id").alias("centre")), f"{name}centre")
-    rays = spread_join(busy.select("key", "id"), centre, "key", busy).where("id <> centre")
-    rays = materialize(rays.select("key", "id", F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")), f"{name}rays")
-    found = materialize(verify(materialize(cool.unionByName(rays.select("a", "b").distinct()), f"{name}star")), f"{name}linked")
-    left = materialize(rays.join(found, ["a", "b"], "left_anti").select("key", "id"), f"{name}left")
-    again = busy.select("key", "id").join(left.select("key").distinct(), "key", "left_semi").select("id").distinct()
-    again = again.join(left.select("id", F.lit(True).alias("alone")).distinct(), "id", "left")
-    again = materialize(lines.join(again, "id").withColumn("alone", F.coalesce("alone", F.lit(False))), f"{name}again")
-    alone = again.where("alone")
-    (index, probe), (some, others) = finer(again), finer(alone)
-    rest = _pairs(index, others, near)
-    if probe is not index:
-        rest = rest.unionByName(_pairs(some, probe, near)).distinct()
-    return found.unionByName(verify(materialize(rest.join(found, ["a", "b"], "left_anti"), f"{name}rest")))
-
-
-def _by_segments(threshold: int, matched: int) -> Callable[[DataFrame], tuple[DataFrame, DataFrame]]:
-    return lambda lines: (index_keys(lines, threshold, matched), probe_keys(lines, threshold, matched))
-
-
-def links(lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
-    """lines: id, norm, len, weight. Returns a, b: links of unlike lines within the threshold, all of them but for those between lines that are linked
-    with the commonest line of a key of over HOT lines."""
-    long = lines.where(F.col("len") >= short).withColumn("counts", letter_counts(F.col("norm")))
-    near = lambda a, b: counts_apart(a, b) <= 2 * threshold
-    return _links_by_key(long, _by_segments(threshold, 1), _by_segments(threshold, 2), near, lambda met: verify(met, lines, threshold, short), "edits")
-
-
-def _both(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """met (a written table): a, b. Joined with lines (id first): its columns once as a, x1, x2, ... and once as b, y1, y2, ..."""
-    x, y = (lines.toDF(e, *(f"{v}{i}" for i in range(1, len(lines.columns)))) for e, v in (("a", "x"), ("b", "y")))
-    one = materialize(spread_join(met, x, "a", met), "one")
-    return spread_join(one, y, "b", one)
-
-
-def _few(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """The lines that met another. lines: one row per id."""
-    return lines.join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-
-
-def verify(met: DataFrame, lines: DataFrame, threshold: int = THRESHOLD, short: int = SHORT) -> DataFrame:
-    """The candidates (a, b), a written table, that are linked. lines: id, norm, len."""
-    pairs = _both(met, materialize(_few(met, lines).select("id", "norm", "len"), "few"))
-    pairs = pairs.where((F.abs(F.col("x2") - F.col("y2")) <= threshold) & may_be_near(F.col("x1"), F.col("y1"), threshold))
-    return pairs.where(edit_distance(F.col("x1"), F.col("y1"), threshold) <= allowed(F.least("x2", "y2"), threshold, short)).select("a", "b")
-
-
-def _words(norm: Column) -> Column:
-    """What stands between blanks and tabs (an empty word between two of them)."""
-    return F.split(F.translate(norm, "\t\r\f\v", "    "), " ")
-
-
-def _n_words(norm: Column) -> Column:
-    return F.octet_length(norm) - F.octet_length(F.translate(norm, " \t\r\f\v", "")) + 1
-
-
-def words_allowed(n: Column) -> Column:
-    """Words by which a line of n words and one as long or longer may differ."""
-    return F.floor(n / WORDS_AN_EDIT).cast("int")
-
-
-def _run_class(n: Column) -> Column:
-    """Which of RUNS goes for a shorter line of n words; -1: none."""
-    return sum(((n >= start).cast("int") for start, _, _ in RUNS), F.lit(-1))
-
-
-def word_keys(lines: DataFrame) -> DataFrame:
-    """id, about, key: hashes of the runs from each named word, for the line as the shorter one of a pair and as the longer.
-    about: in the low 16 bits the number of words (MANY: so many or more), above it for 48 classes of words whether the
-    line has an odd number of them; a word that differs changes two of these at most."""
-    n = F.col("n")
-    counted = lines.select("id", _n_words(F.col("norm")).alias("n"), "norm").where(n >= RUNS[0][0])
-    counted = counted.select("id", "n", "norm", F.explode(F.array_distinct(F.array(_run_class(n), _run_class(n - words_allowed(n))))).alias("which")).where("which >= 0")
-
-    def number(word: Column) -> Column:  # longer words first, as they are rarer; the place's bits are free
-        short = F.lit(31) - F.least(F.char_length(word), F.lit(31))
-        return F.shiftleft(short.cast("long"), 58).bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.xxhash64(word), 34), PLACE_BITS))
-
-    def runs(x: Column, which: int, agree: int, window: int) -> Column:
-        name = lambda i: F.least(*(F.get(x, i + j).bitwiseOR((i + j).cast("long")) for j in range(window)))
-        named = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(x) - agree - window + 1), name))
-        place = lambda v: v.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
-        return F.array_distinct(F.transform(named, lambda v: F.xxhash64(F.lit(which), F.slice(x, place(v) + 1, agree))))
-
-    def of_line(x: Column) -> Column:
-        bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftrightunsigned(v, PLACE_BITS) % 48).cast("int") + 16)
-        odd = F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(bit(v)))
-        keys = F.when(F.col("which") == 0, runs(x, 0, *RUNS[0][1:]))
-        for k in range(1, len(RUNS)):
-            keys = keys.when(F.col("which") == k, runs(x, k, *RUNS[k][1:]))
-        return F.struct(odd.bitwiseOR(F.least(n, F.lit(MANY)).cast("long")).alias("about"), keys.alias("keys"))
-
-    # within a lambda the words' numbers are made once, not for every place
-    each = counted.select("id", F.explode(F.transform(F.array(F.transform(_words(F.col("norm")), number)), of_line)).alias("k"))
-    return each.select("id", F.col("k.about").alias("about"), F.explode("k.keys").alias("key"))
-
-
-def all_runs(lines: DataFrame) -> DataFrame:
-    """id, about, key: every run of as many words as must be unchanged, dealt by length: finer keys than those of word_keys."""
-    n = F.col("n")
-    counted = lines.select("id", _n_words(F.col("norm")).alias("n"), F.transform(_words(F.col("norm")), lambda w: F.xxhash64(w)).alias("x"))
-    bucket = lambda v: F.floor(F.log(v.cast("double")) * 20).cast("int")
-    shorter = F.sequence(n - words_allowed(n), n)
-    parts = F.array_distinct(F.transform(shorter, lambda m: F.struct(_run_class(m).alias("which"), bucket(m).alias("part"))))
-    parts = counted.where(n >= RUNS[0][0]).select("id", "n", "x", F.explode(parts).alias("p")).where("p.which >= 0")
-    size = F.get(F.array(*(F.lit(agree + window - 1) for _, agree, window in RUNS)), F.col("p.which"))
-    odd = F.aggregate("x", F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(v, F.lit(48))).cast("int") + 16)))
-    about = odd.bitwiseOR(F.least(n, F.lit(MANY)).cast("long"))
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64("p", F.slice("x", i, size)))
-    return parts.select("id", about.alias("about"), F.explode(F.array_distinct(keys)).alias("key"))
-
-
-def word_links(lines: DataFrame) -> DataFrame:
-    """lines: id, norm, weight. Returns a, b: links of unlike lines by their words, as links() has them."""
-    n = lambda about: about.bitwiseAND(F.lit(MANY)).cast("int")
-
-    def near(a: Column, b: Column) -> Column:
-        shorter, apart = F.least(n(a), n(b)), F.abs(n(a) - n(b))
-        odd = F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), 16))
-        return (shorter == MANY) | (apart <= words_allowed(shorter)) & (odd <= 2 * words_allowed(shorter))
-
-    def twice(make: Callable[[DataFrame], DataFrame]) -> Callable:
-        return lambda lines: (made := make(lines), made)
-
-    return _links_by_key(lines, twice(word_keys), twice(all_runs), near, lambda met: verify_words(met, lines), "words")
-
-
-def verify_words(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """The candidates (a, b), a written table, that are linked by their words. Each word is written as one character, by
-    two hashes: the distance of such texts is never over that of the words, and below it only where both hashes fall
-    together."""
-
-    def written(seed: int) -> Column:
-        code = lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(F.lit(seed), w), F.lit(0xD000)) + 0x100), 4, "0")
-        return F.decode(F.unhex(F.array_join(F.transform(_words(F.col("norm")), code), "")), "UTF-16BE")
-
-    few = _few(met, lines).select("id", written(1).alias("s"), written(2).alias("z"), _n_words(F.col("norm")).alias("n"))
-    pairs = _both(met, materialize(few, "written"))
-    most = words_allowed(F.least("x3", "y3"))
-    within = lambda x, y: F.call_function("levenshtein", F.col(x), F.col(y), most) >= 0
-    return pairs.where((most > 0) & within("x1", "y1")).where(within("x2", "y2")).select("a", "b")
-
-
-def all_links(lines: DataFrame) -> DataFrame:
-    """lines: id, norm, len, weight (how often it occurs), one row per id. Returns a, b: links of unlike lines by either rule (see links())."""
-    return links(lines.where(_n_words(F.col("norm")) < LONG)).unionByName(word_links(lines)).distinct()
+    busy = busy.unionByName(probe.join(hot, "key", "left_semi").select("key", "id", F.lit(False).alias("indexed")))
+    busy = busy.groupBy("key", "id").agg(F.max("indexed").alias("indexed"))
+    busy = materialize(busy.join(lines.select("id", "weight", odd_words(F.col("norm")).alias("odd"), _n_words(F.col("norm")).alias("words")), "id"), "busy")
+    centre = busy.where("indexed").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("most")).select("key", F.col("most.id").alias("centre"))
+    rays = spread_join(busy, materialize(centre, "centre"), "key", busy).where("id <> centre")
+    rays = materialize(rays.select("key", "id", "odd", "words", "indexed", *_ordered(F.col("id"), F.col("centre"))), "rays")
+    found = materialize(verify(materialize(met.unionByName(rays.select("a", "b")).distinct(), "star"), lines), "linked")
+    left = rays.join(found, ["a", "b"], "left_anti").select("key", "id", "odd", "words", "indexed")
+    left = materialize(left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), "left")
+    apart = F.bit_count(F.col("l.odd").bitwiseXOR(F.col("r.odd"))) > 2 * MOST
+    far = F.abs(F.col("l.words") - F.col("r.words")) > MOST
+    rest = left.alias("l").join(busy.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")).alias("r"), ["key", "block"]).where("l.id <> r.id AND (l.indexed OR r.indexed)").where(~apart & ~far)
+    rest = rest.select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct().join(found, ["a", "b"], "left_anti")
+    return found.unionByName(verify(materialize(rest, "rest"), lines))
 
 
 def classified(docs: DataFrame) -> DataFrame:
     """doc, pos, line_id, class_id, n_texts: for every line that is not blank the number of its text, the least such
     number of its class, and how many different texts the class has. A written table."""
     every = occurrences(docs)
-    texts = every.groupBy("norm").agg(F.count("*").alias("weight")).select(F.xxhash64("norm").alias("id"), "norm", F.char_length("norm").alias("len"), "weight")
-    near = all_links(materialize(texts, "texts"))
+    texts = every.groupBy("norm").agg(F.count("*").alias("weight")).select(F.xxhash64("norm").alias("id"), "norm", "weight")
+    near = links(materialize(texts, "texts"))
     linked = materialize(components(near).toDF("line_id", "class_id"), "linked")
     linked = materialize(spread_join(linked, linked.groupBy("class_id").agg(F.count("*").alias("n_texts")), "class_id", linked), "sized")
     named = materialize(every.select("doc", "pos", F.xxhash64("norm").alias("line_id")), "every")
