@@ -65,12 +65,13 @@ def allowed(kind: Column, n: Column) -> Column:
 
 def _spaced(norm: Column) -> Column:
     """With single blanks between words."""
-    return F.translate(norm, "\t\r\f\v", "    ")
+    other = reduce(lambda x, c: x | F.contains(norm, F.lit(c)), "\r\f\v", F.contains(norm, F.lit("\t")))
+    return F.when(other, F.translate(norm, "\t\r\f\v", "    ")).otherwise(norm)
 
 
 def _n_words(norm: Column) -> Column:
     """What stands between blanks and tabs (an empty word between two of them)."""
-    return F.octet_length(norm) - F.octet_length(F.translate(norm, " \t\r\f\v", "")) + 1
+    return F.octet_length(norm) - F.octet_length(F.replace(_spaced(norm), F.lit(" "), F.lit(""))) + 1
 
 
 def _units(kind: Column, norm: Column) -> Column:
@@ -78,12 +79,12 @@ def _units(kind: Column, norm: Column) -> Column:
 
 
 def measured(lines: DataFrame) -> DataFrame:
-    """lines (id, norm) as id, norm, kind, n, once for each kind of units by which the line may be linked: lines of a few words more than
-    those that are linked by characters may be linked with these."""
-    words, chars = _n_words(F.col("norm")), F.char_length("norm")
+    """lines (id, norm, words) as id, norm, kind, n, once for each kind of units by which the line may be linked: lines of
+    a few words more than those that are linked by characters may be linked with these."""
     reach = max(t for _, t in THRESHOLDS["char"])
-    kinds = F.array_compact(F.array(F.when(words >= MANY_WORDS, F.struct(F.lit("word").alias("kind"), words.alias("n"))), F.when(words < MANY_WORDS + reach, F.struct(F.lit("char").alias("kind"), chars.alias("n")))))
-    return lines.select("id", "norm", F.explode(kinds).alias("k")).select("id", "norm", "k.kind", "k.n").where(allowed(F.col("kind"), F.col("n")) > 0)
+    by_words = lines.where(F.col("words") >= MANY_WORDS).select("id", "norm", F.lit("word").alias("kind"), F.col("words").alias("n"))
+    by_chars = lines.where(F.col("words") < MANY_WORDS + reach).select("id", "norm", F.lit("char").alias("kind"), F.char_length("norm").alias("n"))
+    return by_words.unionByName(by_chars.where(F.col("n") >= THRESHOLDS["char"][0][0]))
 
 
 def _numbers(kind: Column, norm: Column) -> Column:
@@ -92,14 +93,6 @@ def _numbers(kind: Column, norm: Column) -> Column:
     return F.when(kind == "word", F.unhex(F.array_join(F.transform(F.split(_spaced(norm), " "), number), ""))).otherwise(F.encode(norm, "UTF-32"))
 
 
-def _segment(length: Column, i: Column | int, parts: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 1) of a line: the last ones are longer by one."""
-    i = F.lit(i) if isinstance(i, int) else i
-    base, rest = F.floor(length / parts).cast("int"), length % parts
-    longer = F.greatest(F.lit(0), i - 1 - (parts - rest))
-    return (i - 1) * base + longer + 1, base + (i > parts - rest).cast("int")
-
-
 def _ways(threshold: int) -> list[tuple[int, int, int, int]]:
     """Threshold, how much shorter the indexed line is, which of its segments, how far it is shifted in the probing line:
     so far that the edits before and after it still number at most the threshold."""
@@ -111,27 +104,32 @@ def _ways(threshold: int) -> list[tuple[int, int, int, int]]:
 
 
 def _keys(lines: DataFrame, probing: bool) -> DataFrame:
-    """id, key. lines: those of measured(). The ways are rows first, so that the hashing is one short expression."""
+    """id, key. lines: those of measured(). The ways are rows first, so that the hashing is one short expression; each step
+    is short enough to be compiled."""
 
-    def rows(thresholds: tuple[int, ...]) -> Column:
+    def rows(*thresholds: int) -> str:
         ways = [w for t in thresholds for w in (_ways(t) if probing else [(t, 0, i, 0) for i in range(1, t + 2)])]
-        return F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("t", "gap", "i", "shift"), w, strict=True))) for w in ways))
-
-    kind, n = F.col("kind"), F.col("n")
-    most = allowed(kind, n)
-    lower = allowed(kind, n - most)  # that of some of the lines probed
-    way = F.lit(None)
-    for t in range(MOST, 0, -1):
-        if probing and t > 1:
-            way = F.when((most == t) & (lower == t - 1), rows((t, t - 1))).otherwise(way)
-        way = F.when((most == t) & ((lower != t - 1) | F.lit(not probing or t == 1)), rows((t,))).otherwise(way)
-    each = lines.select("id", "kind", "n", _numbers(kind, F.col("norm")).alias("units"), F.when(kind == "word", WIDTH["word"]).otherwise(WIDTH["char"]).alias("width"), F.explode(way).alias("w"))
-    other = n - F.col("w.gap")
-    start, size = _segment(other, F.col("w.i"), F.col("w.t") + 1)
-    start = start + F.col("w.shift")
-    fits = (allowed(kind, other) == F.col("w.t")) & (start >= 1) & (start + size - 1 <= n)
-    width = F.col("width")
-    return each.where(fits).select("id", F.xxhash64("kind", other, F.col("w.i"), F.substring(F.col("units"), (start - 1) * width + 1, size * width)).alias("key"))
+        return f"array({', '.join('named_struct(' + ', '.join(f'{chr(39)}{n}{chr(39)}, {x}' for n, x in zip(('t', 'gap', 'i', 'shift'), w, strict=True)) + ')' for w in ways)})"
+
+    kind, n, t = F.col("kind"), F.col("n"), F.col("t")
+    start_of = {k: reduce(lambda x, step: F.when(t == step[1], step[0]).otherwise(x), steps, F.lit(0)) for k, steps in THRESHOLDS.items()}
+    classed = lines.select("id", "norm", "kind", "n", allowed(kind, n).alias("t"))
+    # lines shorter by up to `near` units have this line's threshold; those below may have the next lower one
+    classed = classed.withColumn("near", n - F.when(kind == "word", start_of["word"]).otherwise(start_of["char"]))
+    classed = classed.withColumn("mixed", (F.col("near") < t) & (t > 1) & F.lit(probing))
+    ways = F.expr(f"array({', '.join([*(rows(k) for k in range(1, MOST + 1)), *(rows(k, k - 1) for k in range(2, MOST + 1))])})")
+    which = F.get(ways, F.when(F.col("mixed"), t + (MOST - 2)).otherwise(t - 1))
+    numbered = classed.select("id", "kind", "n", "t", "near", _numbers(kind, F.col("norm")).alias("units"), F.when(kind == "word", WIDTH["word"]).otherwise(WIDTH["char"]).alias("width"), which.alias("ways"))
+    each = numbered.select("id", "kind", "n", "t", "near", "units", "width", F.explode("ways").alias("w"))
+    each = each.where((F.col("w.t") == t) == (F.col("w.gap") <= F.col("near")))
+    parts, rest, i = F.col("w.t") + 1, F.col("rest"), F.col("w.i")
+    each = each.withColumn("other", n - F.col("w.gap")).withColumn("rest", F.col("other") % parts)
+    each = each.withColumn("base", F.call_function("div", F.col("other") - rest, parts).cast("int"))
+    # even segments, the last ones longer by one
+    each = each.withColumn("start", (i - 1) * F.col("base") + F.greatest(F.lit(0), i - 1 - (parts - rest)) + F.col("w.shift"))
+    each = each.withColumn("size", F.col("base") + (i > parts - rest).cast("int"))
+    each = each.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= n))
+    return each.select("id", F.xxhash64("kind", "other", i, F.substring("units", F.col("start") * F.col("width") + 1, F.col("size") * F.col("width"))).alias("key"))
 
 
 def index_keys(lines: DataFrame) -> DataFrame:
@@ -149,17 +147,15 @@ def edit_distance(a: Column, b: Column, most: int = MOST) -> Column:
     number if it is over `most`. A column of the distance matrix is kept as bits (where it rises and where it falls)
     over the 2 * most + 1 rows around the diagonal."""
     full = (1 << (2 * most + 1)) - 1
-    m, n = F.size(a), F.size(b)
     no = lambda c: c.bitwiseXOR(F.lit(full))
 
-    def step(state: Column, i: Column, equal: Column) -> Column:
+    def step(state: Column, late: Column, equal: Column) -> Column:
         up, down = state["up"], state["down"]
         d0 = (equal.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(equal).bitwiseOR(down).bitwiseAND(F.lit(full))
 
         def after(_: Column, d: Column) -> Column:
             rise, fall = down.bitwiseOR(no(d.bitwiseOR(up))), d.bitwiseAND(up)
             moved = F.shiftright(d, 1)
-            late = i - (m - most)  # from here the last row lies inside the band, ever lower in it
             bit = F.greatest(F.lit(2 * most - 1) - late, F.lit(0))
             change = F.when(late < 0, F.when(d < (1 << (2 * most)), 1).otherwise(0)).otherwise(_bit(rise, bit) - _bit(fall, bit))
             return F.struct(
@@ -170,12 +166,13 @@ def edit_distance(a: Column, b: Column, most: int = MOST) -> Column:
 
     def columns(both: Column) -> Column:
         x, y = both["x"], both["y"]  # within a lambda the lines are cut once, not for every position
+        late = lambda i: i - (F.size(x) - most)  # from 0 on the last row lies inside the band, ever lower in it
         equal = lambda i: sum((F.when(F.get(x, i + (j - most)) == F.get(y, i), 1 << j).otherwise(0) for j in range(2 * most + 1)), F.lit(0))
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), equal(i).alias("e")))
+        return F.transform(F.sequence(F.lit(0), F.size(y) - 1), lambda i: F.struct(late(i).alias("late"), equal(i).alias("e")))
 
     matches = F.flatten(F.transform(F.array(F.struct(a.alias("x"), b.alias("y"))), columns))
     first = F.struct(F.lit(full & (full << most)).alias("up"), F.lit(0).alias("down"), F.lit(most).alias("cost"))
-    return F.aggregate(matches, first, lambda s, c: step(s, c["i"], c["e"]), lambda s: s["cost"])
+    return F.aggregate(matches, first, lambda s, c: step(s, c["late"], c["e"]), lambda s: s["cost"])
 
 
 def _bit(value: Column, place: Column) -> Column:
@@ -193,19 +190,25 @@ def odd_words(norm: Column) -> Column:
 
 
 def verify(met: DataFrame, lines: DataFrame) -> DataFrame:
-    """The candidates (a, b), a written table, that are linked. lines: id, norm, one row per id."""
-    few = materialize(lines.select("id", "norm").join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "few")
-    one = materialize(spread_join(met, few.toDF("a", "x"), "a", met), "one")
-    pairs = spread_join(one, few.toDF("b", "y"), "b", one)
-    words = F.least(_n_words(F.col("x")), _n_words(F.col("y")))
-    pairs = pairs.withColumn("kind", F.when(words >= MANY_WORDS, "word").otherwise("char"))
-    n = lambda c: F.when(F.col("kind") == "word", _n_words(F.col(c))).otherwise(F.char_length(c))
-    most = allowed(F.col("kind"), F.least(n("x"), n("y")))
-    return pairs.where(F.abs(n("x") - n("y")) <= most).where(edit_distance(_units(F.col("kind"), F.col("x")), _units(F.col("kind"), F.col("y"))) <= most).select("a", "b")
+    """The candidates (a, b), a written table, that are linked. lines: id, norm, words, one row per id. Most that are not
+    differ in words that they have an odd number of times, and most that are have as many units, few of them unlike: only what is
+    decided by neither is left to the edit distance."""
+    few = lines.select("id", "norm", "words").join(met.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    few = materialize(few.withColumn("odd", odd_words(F.col("norm"))), "few")
+    # pairs cost much time for their few bytes: not to be put together into few tasks
+    tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = materialize(spread_join(met, few.toDF("a", "x", "m", "o"), "a", met).repartition(tasks, "a", "b"), "one")
+    pairs = spread_join(one, few.toDF("b", "y", "n", "p"), "b", one).where(F.bit_count(F.col("o").bitwiseXOR(F.col("p"))) <= 2 * MOST)
+    by_words, kind = F.least("m", "n") >= MANY_WORDS, F.col("kind")
+    pairs = pairs.select("a", "b", "x", "y", F.when(by_words, "word").otherwise("char").alias("kind"), *(F.when(by_words, F.col(w)).otherwise(F.char_length(v)).alias(w) for w, v in (("m", "x"), ("n", "y"))))
+    pairs = pairs.withColumn("most", allowed(kind, F.least("m", "n"))).where(F.abs(F.col("m") - F.col("n")) <= F.col("most"))
+    x, y = _units(kind, F.col("x")), _units(kind, F.col("y"))
+    unlike = F.aggregate(F.zip_with(x, y, lambda v, w: (v != w).cast("int")), F.lit(0), lambda k, v: k + v)
+    return pairs.where(F.when((F.col("m") == F.col("n")) & (unlike <= F.col("most")), F.lit(True)).otherwise(edit_distance(x, y) <= F.col("most"))).select("a", "b")
 
 
 def links(lines: DataFrame) -> DataFrame:
-    """lines: id, norm, weight (how often it occurs), one row per id. Returns a, b: the links of unlike lines, all but
+    """lines: id, norm, words (their number), weight (how often it occurs), one row per id. Returns a, b: the links of unlike lines, all but
     those between two lines that are linked with the commonest line of a key of over HOT lines."""
     each = measured(lines)
     index, probe = index_keys(each), probe_keys(each)
@@ -221,7 +224,7 @@ def links(lines: DataFrame) -> DataFrame:
     busy = index.join(hot, "key", "left_semi").select("key", "id", F.lit(True).alias("indexed"))
     busy = busy.unionByName(probe.join(hot, "key", "left_semi").select("key", "id", F.lit(False).alias("indexed")))
     busy = busy.groupBy("key", "id").agg(F.max("indexed").alias("indexed"))
-    busy = materialize(busy.join(lines.select("id", "weight", odd_words(F.col("norm")).alias("odd"), _n_words(F.col("norm")).alias("words")), "id"), "busy")
+    busy = materialize(busy.join(lines.select("id", "weight", odd_words(F.col("norm")).alias("odd"), "words"), "id"), "busy")
     centre = busy.where("indexed").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("most")).select("key", F.col("most.id").alias("centre"))
     rays = spread_join(busy, materialize(centre, "centre"), "key", busy).where("id <> centre")
     rays = materialize(rays.select("key", "id", "odd", "words", "indexed", *_ordered(F.col("id"), F.col("centre"))), "rays")
@@ -239,7 +242,7 @@ def classified(docs: DataFrame) -> DataFrame:
     """doc, pos, line_id, class_id, n_texts: for every line that is not blank the number of its text, the least such
     number of its class, and how many different texts the class has. A written table."""
     every = occurrences(docs)
-    texts = every.groupBy("norm").agg(F.count("*").alias("weight")).select(F.xxhash64("norm").alias("id"), "norm", "weight")
+    texts = every.groupBy("norm").agg(F.count("*").alias("weight")).select(F.xxhash64("norm").alias("id"), "norm", _n_words(F.col("norm")).alias("words"), "weight")
     near = links(materialize(texts, "texts"))
     linked = materialize(components(near).toDF("line_id", "class_id"), "linked")
     linked = materialize(spread_join(linked, linked.groupBy("class_id").agg(F.count("*").alias("n_texts")), "class_id", linked), "sized")

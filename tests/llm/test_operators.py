@@ -249,7 +249,7 @@ def test_line_links_are_all_links(spark, monkeypatch, hot):
     evenly = ["the"] * 45
     lines |= {" ".join(evenly), " ".join("of" if i % 15 == 8 else w for i, w in enumerate(evenly) if i < 44)}
     lines = sorted(x for x in lines if x)
-    df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(lines)], "id long, norm string, weight int")
+    df = spark.createDataFrame([(i, x, len(re.split("[ \t\r\f\v]", x)), 1) for i, x in enumerate(lines)], "id long, norm string, words int, weight int")
     want = {(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines) if i < j and abs(len(a) - len(b)) < 60 and linked(a, b)}
     got = {(r.a, r.b) for r in line_dedup.links(df).collect()}
     assert got <= want and rooted(got) == rooted(want) and (hot == 2 or got == want) and len(want) > 300
