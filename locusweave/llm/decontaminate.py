@@ -1,12 +1,15 @@
 """Benchmark decontamination: windows of benchmark words, looked up in every document's words.
 
 The benchmark's windows (10 consecutive words, or the whole item if it has fewer) become sorted arrays of 64-bit
-window hashes that each task holds; documents are scanned with rolling window hashes, hits are verified against the
-words themselves, and hit spans or whole documents are removed. A benchmark of more than BLOCK_BYTES of text is
-held and scanned in several blocks of items, one after the other, so that no broadcast outgrows its bound.
+window hashes, built once and broadcast; documents are scanned with rolling window hashes, hits are verified against
+the words themselves, and hit spans or whole documents are removed. A benchmark of more than BENCHMARK_BYTES of text is
+scanned in several blocks of items: each block's result is a written table, and its broadcast is destroyed before the
+next one is made.
 
 Defined results: a null or wordless text has no words and no hits; an item without words or without item_id takes no
-part; items may repeat words or be equal; extra columns of either table don't matter; an empty benchmark hits nothing.
+part; items may repeat words or be equal; texts count whole, however long;
+rows that repeat get equal results; extra columns of either table don't matter; an empty benchmark hits nothing, and an
+empty table of documents gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import NOT_ALNUM, Words, ddl, fresh, map_arrow, mix, text_blocks
+from locusweave.llm.common import NOT_ALNUM, Words, ddl, fresh, map_arrow, materialize, mix, text_blocks
 
 WINDOW = 10
 #: Most bytes of benchmark text that are broadcast at once.
@@ -38,30 +41,34 @@ def _windows(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 class WindowSet:
-    """Windows of some items: for each window length, sorted hashes, and per hash the window texts with their items."""
+    """Windows of some items as sorted arrays: by window length the 64-bit hashes, the item of each, and where its words
+    stand in the items' normalised texts. About 20 bytes a window besides the texts, and broadcast as it is."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        texts: dict[int, dict[int, dict[bytes, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item, text in items:
-            if text is None or item is None:
-                continue
-            raw = np.frombuffer(text.encode(), np.uint8)
-            if not len(raw):
-                continue
+        parts: dict[int, list[tuple[np.ndarray, ...]]] = defaultdict(list)
+        spelled, at = [], 0
+        self.items = np.array([i for i, _ in items], np.int64)
+        for number, (_, text) in enumerate(items):
+            raw = np.frombuffer((text or "").encode(), np.uint8)
             words = Words(raw, np.array([0, len(raw)]), NOT_ALNUM)
             n = len(words.start)
             if not n:
                 continue
             k = min(n, window)
-            spelled = [words.data[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)]
-            for i, h in enumerate(_windows(words.hashes(), k)):
-                texts[k][int(h)][b" ".join(spelled[i : i + k])].add(item)
-        self.by_length = {k: (np.array(sorted(v), np.uint64), {h: dict(t) for h, t in v.items()}) for k, v in texts.items()}
-        self.maybe = {}
-        for k, (keys, _) in self.by_length.items():
+            size = words.end - words.start
+            start = np.concatenate(([0], np.cumsum(size + 1)[:-1])) + at
+            spelled.append(b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)) + b" ")
+            at += len(spelled[-1])
+            runs = n - k + 1
+            parts[k].append((_windows(words.hashes(), k), np.full(runs, number, np.int32), start[:runs].astype(np.int32), (start[k - 1 :] + size[k - 1 :] - start[:runs]).astype(np.int32)))
+        self.text = b"".join(spelled)
+        self.by_length = {}
+        for k, found in parts.items():
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
             bits = np.zeros(1 << 20, bool)
-            bits[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.maybe[k] = bits
+            bits[(columns[0] >> np.uint64(44)).astype(np.int64)] = True
+            self.by_length[k] = (np.packbits(bits), *(c[order] for c in columns))
 
     def scan(self, words: Words) -> tuple[np.ndarray, list[tuple[int, int, set[int]]]]:
         """Which words are hit; the verified hits as (first word, words, items)."""
@@ -69,27 +76,28 @@ class WindowSet:
         found = []
         hashes = words.hashes()
         document = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-        for k, (keys, texts) in self.by_length.items():
+        for k, (maybe, keys, items, start, size) in self.by_length.items():
             w = _windows(hashes, k)
-            at = np.flatnonzero(self.maybe[k][(w >> np.uint64(44)).astype(np.int64)])
-            place = np.searchsorted(keys, w[at])
-            at = at[(place < len(keys)) & (keys[np.minimum(place, len(keys) - 1)] == w[at])]
-            for i in at[document[at] == document[at + k - 1]].tolist():
-                spelled = b" ".join(words.data[a:b].tobytes() for a, b in zip(words.start[i : i + k], words.end[i : i + k], strict=True))
-                items = texts[int(w[i])].get(spelled)
-                if items:
+            high = (w >> np.uint64(44)).astype(np.int64)
+            at = np.flatnonzero(maybe[high >> 3] >> (7 - (high & 7)).astype(np.uint8) & 1)
+            at = at[document[at] == document[at + k - 1]]
+            first, last = np.searchsorted(keys, w[at]), np.searchsorted(keys, w[at], "right")
+            for i, a, b in zip(at[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist(), strict=True):
+                here = b" ".join(words.data[x:y].tobytes() for x, y in zip(words.start[i : i + k], words.end[i : i + k], strict=True))
+                same = [j for j in range(a, b) if self.text[start[j] : start[j] + size[j]] == here]
+                if same:
                     hit[i] += 1
                     hit[i + k] -= 1
-                    found.append((i, k, items))
+                    found.append((i, k, {int(self.items[n]) for n in items[same].tolist()}))
         return np.cumsum(hit[:-1]) > 0, found
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
-    """The benchmark in parts of at most about BENCHMARK_BYTES of text."""
+    """The benchmark in parts of about BENCHMARK_BYTES of text."""
     b = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = b.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + total // BENCHMARK_BYTES
-    return [b] if n == 1 else [b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
+    return [b] if n == 1 else [b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -99,11 +107,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     kinds = {"_hits": "array<long>", "_items": "array<long>", "_n_words": "long"}
     current = docs.withColumns({n: F.lit(None).cast(k) for n, k in zip(fresh(docs, *kinds), kinds.values(), strict=True)})
     schema = ddl(current)
-    for block in _blocks(benchmark):
-        items = [(r[0], r[1]) for r in block.collect()]  # at most about BENCHMARK_BYTES
+    blocks = _blocks(benchmark)
+    for number, block in enumerate(blocks):
+        items = [(r[0], r[1]) for r in block.distinct().collect()]  # about BENCHMARK_BYTES
+        held = docs.sparkSession.sparkContext.broadcast(WindowSet(items, window))
 
-        def make(items=items):
-            known = WindowSet(items, window)
+        def make(held=held):
+            known = held.value
 
             def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                 texts, old_hits, old_items = (batch.column("text"), batch.column(-3), batch.column(-2))
@@ -130,6 +140,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
             return each
 
         current = map_arrow(current, schema, make)
+        if number + 1 < len(blocks):  # one block at a time is held
+            current = materialize(current, "marked")
+            held.destroy()
     return current
 
 
@@ -155,9 +168,19 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All documents, the hit spans cut out of their texts."""
-    cut = F.udf(lambda t, h: _cut(t, h) if h else t, "string")
-    hits = fresh(docs, "_hits")[0]
-    return mark(docs, benchmark, window).withColumn("text", F.when(F.size(hits) > 0, cut("text", hits)).otherwise(F.col("text"))).select(docs.columns)
+    marked = mark(docs, benchmark, window)
+    place, hits = marked.columns.index("text"), len(docs.columns)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            new = [_cut(t.as_py(), h.as_py()) if t.is_valid and len(h) else t.as_py() for t, h in zip(batch.column(place), batch.column(hits), strict=True)]
+            columns = batch.columns
+            columns[place] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        return each
+
+    return map_arrow(marked, ddl(marked), make).select(docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -6,14 +6,15 @@ sample (SAMPLE documents per language, chosen by a hash of doc_id among the rows
 calibrated by a temperature fitted on a part of the sample that training leaves out; a text is rejected if it has no
 letter or its score is below a threshold at which at most REJECT of that part would be lost.
 
-Defined results: null, empty and letterless texts get `und`, score 0, and are rejected; whole texts count, however
-long; ties go to the first language in order; every language with a row to learn from is
+Defined results: null, empty and letterless texts get `und`, score 0, and are rejected (letters are Unicode's; digits, fractions
+and signs are none); whole texts count, however long; repeated rows get equal results; a row without doc_id is neither
+learned from nor held out; an empty table gives no rows; ties go to the first language in order; every language with a row to learn from is
 learned; with no labelled row every text is `und`; extra columns don't matter.
 """
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,6 @@ BUCKETS, DIM = 1 << 15, 12
 SAMPLE, LANGUAGES = 600, 200
 EPOCHS, RATE, BATCH = 6, 0.6, 16
 REJECT = 0.001
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -47,20 +47,14 @@ class Model:
     soft: np.ndarray | None = None  # softmax weights, apart where they are more than the embedding has columns
 
     def logits(self, text: str) -> np.ndarray:
-        """Mean over all n-grams; a long text is taken in pieces that overlap by the longest n-gram less one."""
-        raw = _bytes(text)
-        total, n = np.zeros(self.table.shape[1]), 0
-        for a in range(0, max(1, len(raw)), BLOCK_BYTES):
-            for size in GRAMS:
-                b = _of_size(raw[a : a + BLOCK_BYTES + size - 1], size)
-                total += self.table[b].sum(axis=0)
-                n += len(b)
-        mean = total / max(n, 1)
+        """Mean over all n-grams, from how often each bucket occurs: the work and memory are bounded by BUCKETS x languages."""
+        b, share = features(text)
+        mean = share @ self.table[b] if len(b) < BUCKETS // 4 else np.bincount(b, share, BUCKETS) @ self.table
         return (mean if self.soft is None else mean @ self.soft) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, accepted."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0, False
         z = self.logits(text) / self.temperature
         p = np.exp(z - z.max())
@@ -80,19 +74,19 @@ def _of_size(raw: np.ndarray, size: int) -> np.ndarray:
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of a whole text's n-grams (BUCKETS at most) and their shares."""
+    """The buckets of a whole text's n-grams (BUCKETS at most) and their shares; a long text is taken in pieces that overlap by the longest
+    n-gram less one."""
     raw = _bytes(text)
     total = np.zeros(BUCKETS, np.int64)
     for a in range(0, len(raw), BLOCK_BYTES):
-        for size in GRAMS:
-            total += np.bincount(_of_size(raw[a : a + BLOCK_BYTES + size - 1], size), minlength=BUCKETS)
+        total += np.bincount(np.concatenate([_of_size(raw[a : a + BLOCK_BYTES + size - 1], size) for size in GRAMS]), minlength=BUCKETS)
     b = np.flatnonzero(total)
-    return b.astype(np.int32), (total[b] / total.sum()).astype(np.float32)
+    return b.astype(np.int32), total[b] / max(1, total.sum())
 
 
-def sample(docs: DataFrame, learn) -> list[tuple[np.ndarray, np.ndarray, str]]:
+def sample(docs: DataFrame, learn) -> DataFrame:
     """Features and language of about SAMPLE documents a language, fewer of each (one at least) beyond LANGUAGES languages,
-    spread by a hash of their ids. The features are made on the executors; only the sample's features reach the driver."""
+    spread by a hash of their ids: h (the hash), lang, b, w."""
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     h = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000_000))
     counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("first"))
@@ -102,11 +96,15 @@ def sample(docs: DataFrame, learn) -> list[tuple[np.ndarray, np.ndarray, str]]:
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
             got = [features(t.as_py()) for t in batch.column(2)]
-            yield {"h": batch.column(0), "lang": batch.column(1), "b": pa.array([g[0] for g in got], pa.list_(pa.int32())), "w": pa.array([g[1] for g in got], pa.list_(pa.float32()))}
+            yield {"h": batch.column(0), "lang": batch.column(1), "b": pa.array([g[0] for g in got], pa.list_(pa.int32())), "w": pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32()))}
 
         return each
 
-    drawn = map_arrow(known.join(F.broadcast(below), "lang").where(h < F.col("below")).select(h.alias("h"), "lang", "text"), "h long, lang string, b array<int>, w array<float>", make).toArrow()
+    return map_arrow(known.join(F.broadcast(below), "lang").where(h < F.col("below")).select(h.alias("h"), "lang", "text"), "h long, lang string, b array<int>, w array<float>", make)
+
+
+def _rows(drawn: pa.Table) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """The sample's rows, in an order that doesn't depend on partitions."""
     order = np.lexsort((drawn["lang"].to_numpy(zero_copy_only=False).astype(str), drawn["h"].to_numpy()))
     return [(drawn["b"][i].values.to_numpy(), drawn["w"][i].values.to_numpy(), drawn["lang"][i].as_py()) for i in order.tolist()]
 
@@ -156,7 +154,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, learn=None) -> Model:
-    return train(sample(docs, F.lit(True) if learn is None else learn))
+    """The model, trained in one task from the bounded sample; only the model, of a size fixed by BUCKETS, reaches the driver."""
+    drawn = sample(docs, F.lit(True) if learn is None else learn)
+    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("b", pa.list_(pa.int32())), ("w", pa.list_(pa.float32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(_rows(table)))], pa.binary())], names=["model"])
+
+    return pickle.loads(drawn.repartition(1).mapInArrow(run, "model binary").first().model)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,7 +188,7 @@ def classify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted."""
     model = fit(docs, crc_mod("doc_id", 4) != 2)
     found = identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_accepted").alias("accepted"))
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"), F.col("_accepted").alias("accepted"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

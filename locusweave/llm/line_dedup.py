@@ -5,8 +5,7 @@ number of units of the shorter one (THRESHOLDS): units are words from MANY_WORDS
 line of n units at which t edits are allowed is cut into t + 1 even segments, of which a line within t edits must hold
 one unchanged. Its segments are indexed by n, by their number and by their text; every line probes the segments of lines as long
 as itself and up to t units shorter, at the starts where an alignment of that many edits can put them (the
-multi-match-aware windows). For the keys units are written as numbers of equal size, so that a segment is a range of
-bytes. What meets is verified by Hyyro's banded bit-parallel edit distance over the units themselves.
+multi-match-aware windows). What meets is verified by Hyyro's banded bit-parallel edit distance over the units themselves.
 Of each class of linked lines the first occurrence (least doc_id, null last, then position) stays.
 
 A key of more than HOT lines would make all pairs of its group. There every line is held against the commonest line
@@ -40,9 +39,7 @@ THRESHOLDS = {"word": ((10, 2), (30, 3), (184, 4)), "char": ((20, 1), (40, 2))}
 MOST = 4
 #: Lines of a key that are held against each other; one line in so many is looked at for keys over that; blocks in
 #: which a key's lines are held against those that are left over.
-HOT, SAMPLED, BLOCKS = 256, 16, 16
-#: Bytes of a unit's number.
-WIDTH = {"word": 5, "char": 4}
+HOT, SAMPLED, BLOCKS = 64, 8, 16
 
 
 def document() -> Column:
@@ -87,12 +84,6 @@ def measured(lines: DataFrame) -> DataFrame:
     return by_words.unionByName(by_chars.where(F.col("n") >= THRESHOLDS["char"][0][0]))
 
 
-def _numbers(kind: Column, norm: Column) -> Column:
-    """The line's units as numbers of WIDTH bytes: 36 bits of a hash of each word, each character as it is."""
-    number = lambda w: F.hex(F.shiftrightunsigned(F.xxhash64(w), 28).bitwiseOR(F.lit(1 << 36)))
-    return F.when(kind == "word", F.unhex(F.array_join(F.transform(F.split(_spaced(norm), " "), number), ""))).otherwise(F.encode(norm, "UTF-32"))
-
-
 def _ways(threshold: int) -> list[tuple[int, int, int, int]]:
     """Threshold, how much shorter the indexed line is, which of its segments, how far it is shifted in the probing line:
     so far that the edits before and after it still number at most the threshold."""
@@ -119,8 +110,8 @@ def _keys(lines: DataFrame, probing: bool) -> DataFrame:
     classed = classed.withColumn("mixed", (F.col("near") < t) & (t > 1) & F.lit(probing))
     ways = F.expr(f"array({', '.join([*(rows(k) for k in range(1, MOST + 1)), *(rows(k, k - 1) for k in range(2, MOST + 1))])})")
     which = F.get(ways, F.when(F.col("mixed"), t + (MOST - 2)).otherwise(t - 1))
-    numbered = classed.select("id", "kind", "n", "t", "near", _numbers(kind, F.col("norm")).alias("units"), F.when(kind == "word", WIDTH["word"]).otherwise(WIDTH["char"]).alias("width"), which.alias("ways"))
-    each = numbered.select("id", "kind", "n", "t", "near", "units", "width", F.explode("ways").alias("w"))
+    numbered = classed.select("id", "kind", "n", "t", "near", F.transform(_units(kind, F.col("norm")), lambda u: F.xxhash64(u)).alias("units"), which.alias("ways"))
+    each = numbered.select("id", "kind", "n", "t", "near", "units", F.explode("ways").alias("w"))
     each = each.where((F.col("w.t") == t) == (F.col("w.gap") <= F.col("near")))
     parts, rest, i = F.col("w.t") + 1, F.col("rest"), F.col("w.i")
     each = each.withColumn("other", n - F.col("w.gap")).withColumn("rest", F.col("other") % parts)
@@ -129,7 +120,7 @@ def _keys(lines: DataFrame, probing: bool) -> DataFrame:
     each = each.withColumn("start", (i - 1) * F.col("base") + F.greatest(F.lit(0), i - 1 - (parts - rest)) + F.col("w.shift"))
     each = each.withColumn("size", F.col("base") + (i > parts - rest).cast("int"))
     each = each.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= n))
-    return each.select("id", F.xxhash64("kind", "other", i, F.substring("units", F.col("start") * F.col("width") + 1, F.col("size") * F.col("width"))).alias("key"))
+    return each.select("id", F.xxhash64("kind", "other", i, F.slice("units", F.col("start") + 1, F.col("size"))).alias("key"))
 
 
 def index_keys(lines: DataFrame) -> DataFrame:
@@ -189,6 +180,12 @@ def odd_words(norm: Column) -> Column:
     return F.aggregate(F.split(_spaced(norm), " "), F.lit(0).cast("long"), lambda x, w: x.bitwiseXOR(bit(w)))
 
 
+def most_odd(words: Column) -> Column:
+    """Classes by which two linked lines can differ in odd_words(), by the shorter one's words. (A character that joins
+    or parts words changes three; of these there are two at most.)"""
+    return F.greatest(2 * allowed(F.lit("word"), words), F.lit(3 * max(t for _, t in THRESHOLDS["char"])))
+
+
 def verify(met: DataFrame, lines: DataFrame) -> DataFrame:
     """The candidates (a, b), a written table, that are linked. lines: id, norm, words, one row per id. Most that are not
     differ in words that they have an odd number of times, and most that are have as many units, few of them unlike: only what is
@@ -198,7 +195,7 @@ def verify(met: DataFrame, lines: DataFrame) -> DataFrame:
     # pairs cost much time for their few bytes: not to be put together into few tasks
     tasks = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = materialize(spread_join(met, few.toDF("a", "x", "m", "o"), "a", met).repartition(tasks, "a", "b"), "one")
-    pairs = spread_join(one, few.toDF("b", "y", "n", "p"), "b", one).where(F.bit_count(F.col("o").bitwiseXOR(F.col("p"))) <= 2 * MOST)
+    pairs = spread_join(one, few.toDF("b", "y", "n", "p"), "b", one).where(F.bit_count(F.col("o").bitwiseXOR(F.col("p"))) <= most_odd(F.least("m", "n")))
     by_words, kind = F.least("m", "n") >= MANY_WORDS, F.col("kind")
     pairs = pairs.select("a", "b", "x", "y", F.when(by_words, "word").otherwise("char").alias("kind"), *(F.when(by_words, F.col(w)).otherwise(F.char_length(v)).alias(w) for w, v in (("m", "x"), ("n", "y"))))
     pairs = pairs.withColumn("most", allowed(kind, F.least("m", "n"))).where(F.abs(F.col("m") - F.col("n")) <= F.col("most"))
@@ -231,7 +228,7 @@ def links(lines: DataFrame) -> DataFrame:
     found = materialize(verify(materialize(met.unionByName(rays.select("a", "b")).distinct(), "star"), lines), "linked")
     left = rays.join(found, ["a", "b"], "left_anti").select("key", "id", "odd", "words", "indexed")
     left = materialize(left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), "left")
-    apart = F.bit_count(F.col("l.odd").bitwiseXOR(F.col("r.odd"))) > 2 * MOST
+    apart = F.bit_count(F.col("l.odd").bitwiseXOR(F.col("r.odd"))) > most_odd(F.least("l.words", "r.words"))
     far = F.abs(F.col("l.words") - F.col("r.words")) > MOST
     rest = left.alias("l").join(busy.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(BLOCKS)).cast("int")).alias("r"), ["key", "block"]).where("l.id <> r.id AND (l.indexed OR r.indexed)").where(~apart & ~far)
     rest = rest.select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct().join(found, ["a", "b"], "left_anti")

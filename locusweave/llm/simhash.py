@@ -4,12 +4,12 @@ Distinct fingerprints are dealt to shards by every choice of two of their four 1
 differ in two bits or fewer agree in at least two blocks, so each such pair meets in a shard. A shard's fingerprints
 form a BK-tree (children keyed by their Hamming distance to the parent; a search follows only edges within the
 radius of the distance), shipped to its task by the shuffle rather than broadcast, as all trees together grow with
-the input. Shards above HOT members are dealt again, by thirds of the remaining 32 bits, of which one must agree.
+the input. Shards above HOT members are dealt again, by thirds of the remaining bits, of which one must agree.
 A task returns a spanning forest of its shard's links, never all pairs; the forests' components are then found with
 alternating star steps, written to the shared folder each round.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; a text of one or two words has
-one shingle, the whole sequence; rows that repeat a doc_id are one document to dedup; extra columns don't matter.
+one shingle, the whole sequence; texts count whole, however long; an empty table gives no rows; rows that repeat a doc_id are one document to dedup; extra columns don't matter.
 A row without doc_id has its links like any other, but names a component only where all rows are so (component_id is
 null then), and is kept only there: one row, of those with the least fingerprint that with the least text.
 """
@@ -25,12 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusweave.llm.common import ddl, fresh, map_arrow, materialize
+from locusweave.llm.common import ddl, fresh, map_arrow, materialize, spread_join
 from locusweave.llm.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Members from which a shard is dealt again.
-HOT = 512
+#: Members from which a shard is dealt again, and how often shards are dealt: in the last one all but 15 bits agree, so
+#: that it has 2**15 members at most.
+HOT, LEVELS = 512, 3
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -115,26 +116,39 @@ def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
     return edges
 
 
-def _block(i: int):
-    return F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)
+def _mask(bits: list[int]) -> int:
+    """The number with these bits, as a signed one."""
+    return int.from_bytes(sum(1 << b for b in bits).to_bytes(8, "big"), "big", signed=True)
+
+
+def _finer(mask: int) -> list[int]:
+    """The mask with each third of its free bits added: of fingerprints that differ in two free bits one third agrees."""
+    fixed = [b for b in range(64) if mask >> b & 1]
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [_mask(fixed + free[t::3]) for t in range(3)]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """distinct: column fp. Returns a, b: fingerprints whose links have the same components as all links within the radius."""
     assert radius <= 2, "the shards are made for a radius of 2 at most"
-    pairs = list(combinations(range(4), 2))
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(n).alias("which"), F.shiftleft(_block(i), 16).bitwiseOR(_block(j)).alias("key")) for n, (i, j) in enumerate(pairs)))).alias("k")).select("fp", F.col("k.which").alias("which"), F.col("k.key").alias("key"))
-    size = keyed.groupBy("which", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(size, ["which", "key"])
-    other = F.lit(None).cast("long")
-    for n, (i, j) in enumerate(pairs):
-        k, m = (x for x in range(4) if x not in (i, j))
-        other = F.when(F.col("which") == n, F.shiftleft(_block(k), 16).bitwiseOR(_block(m))).otherwise(other)
-    cool = shared.where(F.col("n") <= HOT).select("fp", "which", "key", F.lit(0).alias("third"), F.lit(0).cast("long").alias("bits"))
-    hot = shared.where(F.col("n") > HOT).withColumn("o", other)
-    thirds = F.array(*(F.struct(F.lit(t + 1).alias("third"), F.shiftright("o", 11 * t).bitwiseAND(0x7FF if t < 2 else 0x3FF).alias("bits")) for t in range(3)))
-    again = hot.select("fp", "which", "key", F.explode(thirds).alias("t")).select("fp", "which", "key", "t.third", "t.bits")
-    shards = cool.unionByName(again).groupBy("which", "key", "third", "bits").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    masks = {_mask(sum((list(range(16 * i, 16 * i + 16)) for i in chosen), [])) for chosen in combinations(range(4), 2)}
+    dealt = distinct.select("fp", F.explode(F.array(*(F.lit(m) for m in sorted(masks)))).alias("mask"))
+    shards = None
+    for level in range(LEVELS):
+        dealt = dealt.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+        size = dealt.groupBy("key").agg(F.count("*").alias("n"))
+        if level + 1 < LEVELS:
+            hot = materialize(size.where(F.col("n") > HOT).select("key"), "hot")
+        last = level + 1 == LEVELS or hot.isEmpty()
+        cool = dealt if last else dealt.join(hot, "key", "left_anti")
+        found = cool.groupBy("key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
+        shards = found if shards is None else shards.unionByName(found)
+        if last:
+            break
+        finer = {m: _finer(m) for m in masks}
+        masks = {x for f in finer.values() for x in f}
+        lookup = F.create_map(*(F.lit(x) if i % 2 == 0 else F.array(*map(F.lit, x)) for m, f in sorted(finer.items()) for i, x in enumerate((m, f))))
+        dealt = dealt.join(hot, "key", "left_semi").select("fp", F.explode(F.element_at(lookup, F.col("mask"))).alias("mask"))
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -160,7 +174,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links, null if there is none."""
     fps = materialize(fingerprints(docs, shingle), "fps")
     per = _components(fps, radius).select("fp", "component_id")
-    return fps.join(per, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(fps, per, "fp", fps).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

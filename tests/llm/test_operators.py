@@ -342,6 +342,9 @@ def test_language(spark, docs, nothing):
     got = {r.doc_id: r for r in langid.classify(docs).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and not got[i].accepted for i in (0, 1, 2)) and got[5].lang_pred in ("en", "de")
     assert langid.keep_identified(docs).columns == docs.columns
+    odd = spark.createDataFrame([(None, "the of and"), (7, "\u00bd \u00b2 12"), (8, "the water " * 300_000), (9, "the of and"), (9, "the of and")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    odd = {(r.doc_id, r.lang_pred, r.held_out is None) for r in langid.classify(odd).collect()}
+    assert odd == {(None, "en", False), (7, "und", False), (8, "en", False), (9, "en", False)}
     assert langid.classify(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
     assert langid.classify(nothing).count() == 0
 
@@ -350,7 +353,8 @@ def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 3)
     monkeypatch.setattr(langid, "SAMPLE", 4)
     rows = [(100 * k + i, f"word{k} text{k} " * 5, f"l{k:02}") for k in range(15) for i in range(20 if k < 3 else 6)]
-    drawn = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    drawn = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).toArrow()
+    drawn = langid._rows(drawn)
     assert {lang for *_, lang in drawn} == {f"l{k:02}" for k in range(15)} and len(drawn) < 40
     model = langid.train(drawn)
     assert len(model.languages) == 15 and model.predict("word14 text14")[0] in model.languages
