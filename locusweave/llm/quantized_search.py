@@ -3,12 +3,14 @@
 A vector is the sum of M codewords, one of each full-dimensional codebook. The codebooks come from residual k-means on
 a bounded sample (SAMPLE vectors, spread by a hash of their ids), then from rounds of beam-search encoding and least
 squares. Every row is encoded by beam search and stored with its code and the squared norm of its approximation, as a
-table in the shared folder. A search scores codes with lookup tables (query times codeword) in blocks of BLOCK queries,
-reranks each task's RERANK best by exact distance in double precision, and merges the tasks' results.
-
-Defined results: vectors that are null, zero, of another length than the commonest, or hold null or non-finite
-components take no part, nor do rows without vec_id; equal distances go to the smaller vec_id; rows that repeat a
-vec_id count once as candidates (nearest), and once as queries (least vector); extra columns don't matter.
+table in the shared folder. A search scores the codes of all rows with lookup tables (query times codeword), one block
+of about BLOCK queries after the other; each task keeps a query's RERANK best, and of these the RERANK best of all
+tasks, and no more however many tasks there are, are compared exactly, in double precision.
+
+Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without
+vec_id; a distance needs vectors of one length, so vectors of another length than the commonest take no part either;
+finite components may be of any size; equal distances go to the smaller vec_id; rows that repeat a vec_id count once as
+candidates (nearest), and once as queries (least vector); an empty table gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from pyspark.sql import functions as F
 
 from locusweave.llm.common import map_arrow, materialize
 
-CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 16, 128, 8, 2
-#: Vectors that codebooks are fitted on (expected number); queries of a block; rows reranked in a task; results.
-SAMPLE, BLOCK, RERANK, NEAREST = 8192, 1024, 256, 10
+CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 24, 128, 8, 2
+#: Vectors that codebooks are fitted on (expected number); queries of a block; rows reranked for a query; results.
+SAMPLE, BLOCK, RERANK, NEAREST = 8192, 1024, 512, 10
 SEED = 11
 
 
@@ -61,8 +63,8 @@ class Quantizer:
     def __post_init__(self):
         m, k, d = self.codebooks.shape
         flat = self.codebooks.reshape(m * k, d)
-        self.products = (flat @ flat.T).reshape(m, k, m, k).transpose(0, 2, 1, 3).astype(np.float32)  # of two codewords
-        self.norms = np.square(flat).sum(axis=1).reshape(m, k).astype(np.float32)
+        self.products = (flat @ flat.T).reshape(m, k, m, k).transpose(0, 2, 1, 3)  # of two codewords
+        self.norms = np.square(flat).sum(axis=1).reshape(m, k)
 
     def encode(self, x: np.ndarray, beam: int = BEAM, block: int = 256) -> np.ndarray:
         """Codes by beam search: after each codebook the beam's least distances to the vector stay."""
@@ -71,8 +73,8 @@ class Quantizer:
         for a in range(0, len(x), block):
             part = x[a : a + block]
             n = len(part)
-            dots = (part @ self.codebooks.reshape(m * k, d).T).reshape(n, m, k).astype(np.float32)
-            cost, codes = np.zeros((n, 1), np.float32), np.zeros((n, 1, 0), np.int64)
+            dots = (part @ self.codebooks.reshape(m * k, d).T).reshape(n, m, k)
+            cost, codes = np.zeros((n, 1)), np.zeros((n, 1, 0), np.int64)
             for j in range(m):
                 total = cost[:, :, None] + (self.norms[j] - 2 * dots[:, j])[:, None, :]
                 for i in range(j):
@@ -139,69 +141,85 @@ def index(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
 
 
 class Block:
-    """A block of queries, its lookup tables, and the best rows of the task so far."""
+    """A block of queries, its lookup tables, and the approximately best rows of the task so far."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, quantizer: Quantizer, nearest: int):
-        self.ids, self.x, self.nearest = ids, x, nearest
+    def __init__(self, ids: np.ndarray, x: np.ndarray, quantizer: Quantizer, keep: int):
+        self.ids, self.keep = ids, keep
         m, k, d = quantizer.codebooks.shape
-        self.table = np.ascontiguousarray((x @ quantizer.codebooks.reshape(m * k, d).T).reshape(len(x), m, k).transpose(1, 2, 0).astype(np.float32))
-        self.best: list[list[tuple[float, int]]] = [[] for _ in ids]
-
-    def add(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> None:
-        """Score a batch of codes, rerank its best exactly, keep the nearest."""
-        approx = np.repeat(norms.astype(np.float32)[:, None], len(self.ids), axis=1)
+        self.table = np.ascontiguousarray((x @ quantizer.codebooks.reshape(m * k, d).T).reshape(len(x), m, k).transpose(1, 2, 0))
+        self.score, self.row = np.zeros((0, len(ids))), np.zeros((0, len(ids)), np.int64)
+
+    def add(self, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> None:
+        """Score a batch of codes and keep the best, at equal scores the smaller ids; an id counts once, with its best
+        row, and a query's own row as the worst."""
+        order = np.argsort(ids, kind="stable")
+        approx = np.repeat(norms[order][:, None], len(self.ids), axis=1)
         for j in range(codes.shape[1]):
-            approx -= 2 * self.table[j][codes[:, j]]
-        approx[ids[:, None] == self.ids[None, :]] = np.inf
-        take = min(RERANK, len(ids))
-        limit = np.partition(approx, take - 1, axis=0)[take - 1]
-        for i in range(len(self.ids)):
-            at = np.flatnonzero(approx[:, i] <= limit[i])
-            at = at[np.isfinite(approx[at, i])]
-            if len(at) > take:  # equal codes: the smaller ids
-                at = at[np.lexsort((ids[at], approx[at, i]))[:take]]
-            exact = np.sqrt(np.square(x[at] - self.x[i]).sum(axis=1))
-            order = np.lexsort((ids[at], exact))[: 4 * self.nearest]
-            merged, seen = [], set()
-            for s, v in sorted(self.best[i] + list(zip(exact[order].tolist(), ids[at][order].tolist(), strict=True))):
-                if v not in seen:
-                    seen.add(v)
-                    merged.append((s, v))
-                if len(merged) == self.nearest:
-                    break
-            self.best[i] = merged
+            approx -= 2 * self.table[j][codes[order, j]]
+        ids, start = np.unique(ids[order], return_index=True)
+        if len(start) < len(approx):
+            approx = np.minimum.reduceat(approx, start, axis=0)
+        approx[np.isnan(approx) | (ids[:, None] == self.ids[None, :])] = np.inf
+        for i in np.flatnonzero(np.isin(ids, self.row)).tolist():
+            same = self.row == ids[i]
+            self.score = np.where(same, np.minimum(self.score, approx[i]), self.score)
+            approx[i, same.any(axis=0)] = np.inf
+        score, row = np.concatenate([self.score, approx]), np.concatenate([self.row, np.repeat(ids[:, None], len(self.ids), axis=1)])
+        if len(score) > self.keep + 1:  # one more, as the own row is among them
+            best = np.argpartition(score, self.keep, axis=0)[: self.keep + 1]
+            last = np.take_along_axis(score, best, 0).max(axis=0)
+            for c in np.flatnonzero(((score <= last) & np.isfinite(score)).sum(axis=0) > self.keep + 1).tolist():
+                best[:, c] = np.lexsort((row[:, c], score[:, c]))[: self.keep + 1]
+            score, row = np.take_along_axis(score, best, 0), np.take_along_axis(row, best, 0)
+        self.score, self.row = score, row
+
+
+FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def search(indexed: DataFrame, queries: DataFrame, quantizer: Quantizer, nearest: int = NEAREST) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's nearest other vectors by Euclidean distance."""
-    spark = indexed.sparkSession
-    q = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    """query_id, rank, vec_id, score: each query's nearest other vectors by Euclidean distance. indexed: a written table."""
+    spark, keep = indexed.sparkSession, max(RERANK, nearest)
+    q = materialize(queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     blocks = max(1, -(-q.count() // BLOCK))
-    schema = "query_id long, vec_id long, score double"
-    found = None
+    fitted, found = spark.sparkContext.broadcast(quantizer), None
     for b in range(blocks):
         part = q.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()  # about BLOCK rows
         if not part.num_rows:
             continue
-        held = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), _matrix(part["embedding"].combine_chunks()), quantizer))
+        held = spark.sparkContext.broadcast((part["vec_id"].to_numpy(), _matrix(part["embedding"].combine_chunks())))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            block = Block(*held.value, nearest)
+            block = Block(*held.value, fitted.value, keep)
             for batch in batches:
                 for a in range(0, batch.num_rows, 2048):
                     rows = batch.slice(a, 2048)
                     codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-                    block.add(rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding")), codes, rows.column("norm").to_numpy())
-            out = [(int(i), v, s) for i, best in zip(block.ids, block.best, strict=True) for s, v in best]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query_id", "vec_id", "score"])
+                    block.add(rows.column("vec_id").to_numpy(), codes, rows.column("norm").to_numpy())
+            owner = np.broadcast_to(block.ids[None, :], block.row.shape)
+            other = owner != block.row
+            yield pa.RecordBatch.from_arrays([pa.array(owner[other]), pa.array(block.row[other]), pa.array(block.score[other])], names=["query_id", "vec_id", "approx"])
 
-        one = indexed.mapInArrow(run, schema)
+        one = materialize(indexed.select("vec_id", "code", "norm").mapInArrow(run, "query_id long, vec_id long, approx double"), "near")
+        held.destroy()
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+        return spark.createDataFrame([], FOUND)
+    by = Window.partitionBy("query_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.min("approx").alias("approx"))
+    best = once.withColumn("place", F.row_number().over(by.orderBy("approx", "vec_id"))).where(F.col("place") <= keep).select("query_id", "vec_id")
+    pairs = best.join(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id").join(indexed.select("vec_id", "embedding"), "vec_id")
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[dict]:
+            gap = _matrix(batch.column("query")) - _matrix(batch.column("embedding"))
+            yield {"query_id": batch.column("query_id"), "vec_id": batch.column("vec_id"), "score": np.sqrt(np.square(gap).sum(axis=1)) if len(gap) else np.zeros(0)}
+
+        return each
+
+    exact = map_arrow(pairs.select("query_id", "vec_id", "query", "embedding"), "query_id long, vec_id long, score double", make)
+    exact = exact.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    return exact.withColumn("rank", F.row_number().over(by.orderBy("score", "vec_id"))).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
 def nearest_neighbours(embeddings: DataFrame, is_query, nearest: int = NEAREST) -> DataFrame:
@@ -209,6 +227,6 @@ def nearest_neighbours(embeddings: DataFrame, is_query, nearest: int = NEAREST)
     vectors = taking_part(embeddings)
     quantizer = fit(vectors)
     if quantizer is None:
-        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return embeddings.sparkSession.createDataFrame([], FOUND)
     indexed = materialize(index(vectors, quantizer), "index")
     return search(indexed, indexed.where(is_query), quantizer, nearest)

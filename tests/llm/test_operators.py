@@ -77,6 +77,34 @@ def test_search_recall_and_order(spark):
     assert quantized_search.nearest_neighbours(df.where("false"), "true").count() == 0
 
 
+def test_search_reranks_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(quantized_search, "RERANK", 60)  # 2 % of the rows
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32)) @ rng.normal(size=(32, 32)) / 4
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(2)
+    got = collections.defaultdict(set)
+    for r in quantized_search.nearest_neighbours(df, "vec_id % 30 = 0").collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 30):
+        d = np.square(x - x[q]).sum(axis=1)
+        hits += len(got[q] & {v for v in np.lexsort((np.arange(3000), d)).tolist() if v != q and v in np.argsort(d)[:11]})
+    assert hits / 1000 >= 0.9
+
+
+def test_search_of_large_components_and_common_rows(spark):
+    rows = [(i, [1e20 * (1 + (i * 7 % 13)), 1e20 * (i % 5), -1e20]) for i in range(40)] + [(100 + i % 2, [3e20, 1e20, -1e20]) for i in range(3000)] + [(200 + i, [5e20, 0.0, 1e20]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in quantized_search.nearest_neighbours(df, "vec_id IN (0, 1, 205)").orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert [v for v, _ in got[205]] == [200, 201, 202, 203, 204, 206, 207, 208, 209, 210] and {s for _, s in got[205]} == {0.0}
+    for q in (0, 1):
+        vectors = dict(rows)
+        d = {v: math.dist(vectors[q], x) for v, x in vectors.items() if v != q}
+        assert [s for _, s in got[q]] == pytest.approx(sorted(d.values())[:10])
+
+
 # ------------------------------------------------------------------ 2
 
 
