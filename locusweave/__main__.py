@@ -18,6 +18,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--interval", help="contig:begin-end")
     p.add_argument("--sites-only", action="store_true")
+    p.add_argument("--no-gt", action="store_true", help="all genotypes missing")
+    p.add_argument("--no-filter", action="store_true", help="no filters")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     fields, contigs = metadata.fields_from_header(spark, a.files)
@@ -46,7 +48,7 @@ def main(argv: list[str] | None = None) -> None:
     records = combine_gvcf(calls, Spec(info=ops), begin, end)
     order = sorted(samples, key=samples.get)
     formats = {} if a.sites_only else {"GT": "gt", "GQ": "gq", "SB": "sb", "AD": "ad", "PL": "pl", "MIN_DP": "min_dp", "DP": "dp_format"}
-    vcf.write_vcf(records, a.out, [] if a.sites_only else order, table, {n: n for n in ops} | {"DP": "dp"}, formats)
+    vcf.write_vcf(records, a.out, [] if a.sites_only else order, table, {n: n for n in ops} | {"DP": "dp"}, formats, fields, not a.no_gt, not a.no_filter)
 
 
 if __name__ == "__main__":

@@ -33,6 +33,10 @@ def duplicates(calls: DataFrame) -> DataFrame:
     return calls.groupBy("row_idx", "col_begin").agg(F.count("*").alias("n")).where("n > 1")
 
 
+#: Bins of an interval from which it is cut to where calls are.
+WIDE = 1 << 16
+
+
 def bins(begin: str, end: str, width: int = BIN):
     return F.explode(F.sequence(F.expr(f"{begin} div {width}"), F.expr(f"{end} div {width}")))
 
@@ -41,9 +45,15 @@ def overlap(calls: DataFrame, intervals: DataFrame, width: int = BIN) -> DataFra
     """calls x intervals (interval_id, qb, qe over the same axis): one row per call and interval that it reaches into by
     its effective end, with interval_id. A pair that shares several bins meets in the first of them only."""
     c = truncate(calls).withColumn("_bin", bins("col_begin", "eff_end", width))
-    q = intervals.withColumn("_bin", bins("qb", "qe", width))
-    met = c.join(q, "_bin").where("col_begin <= qe and eff_end >= qb").where(F.col("_bin") == F.greatest(F.expr(f"col_begin div {width}"), F.expr(f"qb div {width}")))
-    return met.drop("_bin")
+    q = intervals.withColumns({"_qb": F.col("qb"), "_qe": F.col("qe")})
+    if not intervals.where(F.col("qe") > F.col("qb") + WIDE * width).isEmpty():  # open ends: no bins where no calls are
+        ends = calls.agg(F.min("col_begin").alias("lo"), F.max("col_end").alias("hi")).first()
+        if ends.lo is not None:
+            q = q.withColumns({"_qb": F.greatest("qb", F.lit(ends.lo)), "_qe": F.least("qe", F.lit(ends.hi))}).where("_qb <= _qe")
+        else:
+            q = q.where("false")
+    met = c.join(q.withColumn("_bin", bins("_qb", "_qe", width)), "_bin").where("col_begin <= qe and eff_end >= qb")
+    return met.where(F.col("_bin") == F.greatest(F.expr(f"col_begin div {width}"), F.expr(f"_qb div {width}"))).drop("_bin", "_qb", "_qe")
 
 
 def at_interval(calls: DataFrame, begin: int, end: int) -> DataFrame:

@@ -71,7 +71,7 @@ mref AS (SELECT contig, s, t, coalesce(max(ref) FILTER (col_begin = s AND length
 mine AS (SELECT a.*, m.mref, list_transform(a2, lambda x: CASE WHEN x = '*' OR starts_with(x, '<') THEN x ELSE x || substr(m.mref, length(r2) + 1) END) AS mine FROM act2 a JOIN mref m USING (contig, s, t)),
 alleles AS (SELECT contig, s, t, allele, min(row_idx * 100 + pos) AS ord FROM (SELECT contig, s, t, row_idx, unnest(mine) AS allele, unnest(range(0, len(mine))) AS pos FROM mine) GROUP BY ALL),
 malt AS (SELECT contig, s, t, list(allele ORDER BY allele = '<NON_REF>', ord) AS malt FROM alleles GROUP BY ALL),
-merged AS (SELECT *, list_concat([0], list_transform(malt, lambda a: coalesce(nullif(list_position(mine, a), 0), list_position(mine, '<NON_REF>')))) AS src FROM mine JOIN malt USING (contig, s, t))"""
+merged AS MATERIALIZED (SELECT *, list_concat([0], list_transform(malt, lambda a: coalesce(nullif(list_position(mine, a), 0), list_position(mine, '<NON_REF>')))) AS src FROM mine JOIN malt USING (contig, s, t))"""
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +103,9 @@ def calls_row_subset(spark, sf):
     return calls(spark, sf).join(F.broadcast(rows), "row_idx", "left_semi").select("row_idx", "col_begin", "col_end", "ref")
 
 
-@query(CALLS + "SELECT row_idx, col_begin, eff_end, ref FROM trunc WHERE col_begin <= 5000 AND eff_end >= 5000")
+@query(CALLS + "SELECT row_idx, col_begin, eff_end, ref FROM trunc WHERE col_begin <= 6000 AND eff_end >= 6000")
 def calls_single_position(spark, sf):
-    return intervals.at_interval(calls(spark, sf), 5000, 5000).select("row_idx", "col_begin", "eff_end", "ref")
+    return intervals.at_interval(calls(spark, sf), 6000, 6000).select("row_idx", "col_begin", "eff_end", "ref")
 
 
 @query(CALLS + "SELECT row_idx, col_begin, eff_end, ref FROM trunc WHERE col_begin <= 9000 AND eff_end >= 5000")
@@ -129,9 +129,11 @@ def effective_end(spark, sf):
     return intervals.truncate(calls(spark, sf)).select("row_idx", "col_begin", "col_end", "eff_end")
 
 
-@query(CALLS + "SELECT row_idx, col_begin FROM trunc WHERE eff_end < col_end AND kind = 1")
+@query(CALLS + ", longer AS (SELECT row_idx, contig, col_begin, kind, CASE WHEN kind = 1 THEN col_begin + q ELSE col_end END AS e FROM calls) SELECT row_idx, col_begin FROM (SELECT *, lead(col_begin) OVER (PARTITION BY row_idx, contig ORDER BY col_begin) AS n FROM longer) WHERE kind = 1 AND n <= e")
 def illegal_overlaps(spark, sf):
-    return intervals.illegal_overlaps(calls(spark, sf)).select("row_idx", "col_begin")
+    """Substitutions are one position long; here they are made longer, so that others cut them."""
+    longer = F.when(F.col("kind") == 1, F.col("col_begin") + F.col("q")).otherwise(F.col("col_end"))
+    return intervals.illegal_overlaps(calls(spark, sf).withColumn("col_end", longer)).select("row_idx", "col_begin")
 
 
 @query("SELECT l_suppkey % 8 AS row_idx, l_orderkey * 8 + l_linenumber AS col_begin, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -140,7 +142,7 @@ def duplicate_cells(spark, sf):
     return intervals.duplicates(raw)
 
 
-@query(SWEEP + " SELECT s.contig, s.s, s.t FROM segs s WHERE EXISTS (SELECT 1 FROM active a WHERE a.contig = s.contig AND a.s = s.s)")
+@query(SWEEP + " SELECT DISTINCT contig, s, t FROM active")
 def segments(spark, sf):
     return intervals.sweep(calls(spark, sf)).select("contig", "s", "t").distinct()
 

@@ -52,4 +52,4 @@ edges AS (SELECT DISTINCT contig, unnest(CASE WHEN has_del THEN range(col_begin,
 segs AS (SELECT * FROM (SELECT contig, s, lead(s) OVER (PARTITION BY contig ORDER BY s) - 1 AS t FROM edges) WHERE t IS NOT NULL),
 bsegs AS (SELECT *, s // 64 AS bin FROM segs),
 bcalls AS (SELECT *, unnest(range(col_begin // 64, eff_end // 64 + 1)) AS bin FROM trunc),
-active AS (SELECT c.* EXCLUDE (bin), s.s, s.t FROM bsegs s JOIN bcalls c ON s.contig = c.contig AND s.bin = c.bin AND c.col_begin <= s.s AND c.eff_end >= s.s)"""
+active AS MATERIALIZED (SELECT c.* EXCLUDE (bin), s.s, s.t FROM bsegs s JOIN bcalls c ON s.contig = c.contig AND s.bin = c.bin AND c.col_begin <= s.s AND c.eff_end >= s.s)"""

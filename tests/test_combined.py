@@ -104,6 +104,41 @@ def test_wrong_length_is_an_error(spark, tmp_path):
         vcf.read_vcf(spark, str(path), fields, contigs).collect()
 
 
+def test_wrong_number_of_genotype_values_is_an_error(spark, tmp_path):
+    path = tmp_path / "a.vcf"
+    path.write_text(cells.MIN_PL_VCF.replace("591,353,", "591,"))
+    fields = metadata.fields({"fields": {"PL": {"vcf_field_class": ["FORMAT"], "type": "int", "length": "G"}}})
+    contigs = spark.createDataFrame([("1", 249250621, 0)], "name string, length long, offset long")
+    with pytest.raises(Exception, match="PL has a wrong number of elements"):
+        vcf.read_vcf(spark, str(path), fields, contigs).collect()
+
+
+def test_files_with_their_own_samples(spark, tmp_path):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t"
+    (tmp_path / "a.vcf").write_text(head + "A\n1\t10\t.\tC\tT\t50\t.\tDP=5;DP=7\tGT:AD\t0|1:3,2\n")
+    (tmp_path / "b.vcf").write_text(head + "B\tC\n1\t10\t.\tC\tT\t.\t.\tDP=6\tGT:AD\t0/1:4,1\t1/1:0,9\n")
+    fields = metadata.fields({"fields": {"AD": {"vcf_field_class": ["FORMAT"], "type": "int", "length": "R"}, "DP": {"vcf_field_class": ["INFO"], "type": "int", "length": 1}}})
+    contigs = spark.createDataFrame([("1", 1000, 0)], "name string, length long, offset long")
+    calls = vcf.read_vcf(spark, str(tmp_path), fields, contigs)
+    got = {r.sample: (r.row_idx, r.gt, r.gt_phased, r.AD, r.DP, r.qual) for r in calls.collect()}
+    assert got == {"A": (0, [0, 1], [True], [3, 2], 5, 50.0), "B": (1, [0, 1], [False], [4, 1], 6, None), "C": (2, [1, 1], [False], [0, 9], 6, None)}
+    records = calls.groupBy("contig", F.col("col_begin").alias("s"), F.col("col_end").alias("t"), "ref", "alt").agg(F.max("qual").alias("qual"), F.array_sort(F.collect_list(F.struct("row_idx", "gt", "gt_phased", "AD"))).alias("calls")).withColumns({"ids": F.lit(None).cast("string"), "filters": F.array(F.lit("low"))})
+    lines = lambda **kw: [r.line.split("\t")[5:] for r in vcf.to_vcf_lines(records, ["A", "B", "C", "D"], contigs, {}, {"GT": "gt", "AD": "AD"}, **kw).collect()]
+    assert lines() == [["50", "low", ".", "GT:AD", "0|1:3,2", "0/1:4,1", "1/1:0,9", ".:."]]
+    assert lines(produce_gt=False, produce_filter=False) == [["50", ".", ".", "GT:AD", ".|.:3,2", "./.:4,1", "./.:0,9", ".:."]]
+    assert '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="AD">' in vcf.header(["A"], [("1", 1000)], ["DP"], ["AD"], fields)
+
+
+def test_open_ended_intervals(spark):
+    calls = spark.createDataFrame([(0, "1", 5, 20), (0, "1", 4000, 4100), (1, "1", 9, 9)], "row_idx long, contig string, col_begin long, col_end long")
+    from locusweave.operators import intervals
+
+    parts = spark.createDataFrame([(0, 0, 3999), (1, 4000, 2**63 - 2)], "pid long, p_begin long, p_end long")
+    got = intervals.partition_cells(calls, parts).select("pid", "row_idx", "col_begin").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 5), (0, 1, 9), (1, 0, 4000)]
+    assert intervals.partition_cells(calls.where("false"), parts).count() == 0
+
+
 def test_general_ploidy(spark):
     calls = spark.createDataFrame(cells.TRIPLOID, "row_idx long, col_begin long, col_end long, ref string, alt array<string>, gt array<int>, pl array<int>").withColumn("contig", F.lit("1"))
     out = {r.s: r for r in merge.combine_gvcf(calls, merge.Spec(per_allele=(), info={}, format=(), general_ploidy=True)).collect()}
