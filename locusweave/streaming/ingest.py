@@ -16,8 +16,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir (in tests, where it is unset, a temporary one)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="locusweave-")
+    """A new folder under spark.checkpoint.dir (in a local session where it is unset, a temporary one)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="locusweave-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
