@@ -215,8 +215,14 @@ def merged_calls(spark, sf) -> DataFrame:
     return merge.merge_alleles(merge.gather(merge.rewrite_spanning(intervals.sweep(calls(spark, sf)), SPEC)))
 
 
-def remapped(spark, sf) -> DataFrame:
-    return merge.remap_calls(merged_calls(spark, sf), SPEC).select("contig", "s", "t", F.explode("calls").alias("c"))
+def by_call(merged: DataFrame, **columns) -> DataFrame:
+    """A row per call with contig, s, row_idx and these columns of it. The calls are cut down to that before they become
+    rows: a field taken from exploded calls would have the optimiser repeat all that the calls are made of for each use."""
+    return merged.select("contig", "s", F.inline(F.transform("calls", lambda c: F.struct(c["row_idx"].alias("row_idx"), *(f(c).alias(n) for n, f in columns.items())))))
+
+
+def remapped(spark, sf, fields: merge.Spec) -> DataFrame:
+    return merge.remap_calls(merged_calls(spark, sf), fields)
 
 
 @query(MERGED + " SELECT DISTINCT contig, s, t, mref AS ref FROM merged")
@@ -231,17 +237,17 @@ def merged_alt(spark, sf):
 
 @query(MERGED + f" SELECT contig, s, row_idx, {sql_text('src')} AS source FROM merged")
 def allele_lookup(spark, sf):
-    return merged_calls(spark, sf).select("contig", "s", F.explode("calls").alias("c")).select("contig", "s", "c.row_idx", text("c.source").alias("source"))
+    return by_call(merged_calls(spark, sf), source=lambda c: text(c["source"]))
 
 
 @query(MERGED + f" SELECT contig, s, row_idx, {sql_text('list_transform(gt, lambda a: CASE WHEN a = 0 THEN 0 ELSE coalesce(nullif(list_position(malt, mine[a]), 0), list_position(malt, ' + chr(39) + '<NON_REF>' + chr(39) + ')) END)')} AS gts FROM merged")
 def gt_remap(spark, sf):
-    return remapped(spark, sf).select("contig", "s", "c.row_idx", text("c.gt").alias("gts"))
+    return by_call(remapped(spark, sf, merge.Spec(per_allele=(), per_genotype=(), format=())), gts=lambda c: text(c["gt"]))
 
 
 @query(MERGED + f" SELECT contig, s, row_idx, {sql_text('list_transform(src, lambda i: ad[i + 1])')} AS ads FROM merged")
 def ad_remap(spark, sf):
-    return remapped(spark, sf).select("contig", "s", "c.row_idx", text("c.ad").alias("ads"))
+    return by_call(remapped(spark, sf, merge.Spec(per_genotype=(), format=())), ads=lambda c: text(c["ad"]))
 
 
 PL_SQL = "flatten(list_transform(range(0, len(src)), lambda k: list_transform(range(0, k + 1), lambda j: pl[(greatest(src[j + 1], src[k + 1]) * (greatest(src[j + 1], src[k + 1]) + 1)) // 2 + least(src[j + 1], src[k + 1]) + 1])))"
@@ -249,7 +255,7 @@ PL_SQL = "flatten(list_transform(range(0, len(src)), lambda k: list_transform(ra
 
 @query(MERGED + f" SELECT contig, s, row_idx, {sql_text(PL_SQL)} AS pls FROM merged")
 def pl_remap_diploid(spark, sf):
-    return remapped(spark, sf).select("contig", "s", "c.row_idx", text("c.pl").alias("pls"))
+    return by_call(remapped(spark, sf, SPEC), pls=lambda c: text(c["pl"]))
 
 
 @query()
