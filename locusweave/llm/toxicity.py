@@ -1,13 +1,16 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters look at a bounded sample of labelled rows (SAMPLE of each label, chosen by a hash of doc_id among the rows to
-learn from): seed lexicons, words mined from the sample, text patterns, and the annotators' label as one voter more.
-The label model estimates by expectation-maximisation how each voter votes given the hidden class, and from the
-residuals which voters are correlated; correlated votes count for less. A sparse logistic regression on the presence
-of hashed words is trained on the posterior labels, and scores every whole text.
+learn from): seed lexicons and lexicons mined from the sample, which vote by how dense their words are in a text, and
+text patterns. Labels mine the lexicons, choose from what density on they vote, and give the share of class 1; no voter
+votes as they say. The label model estimates by expectation-maximisation, from the votes alone, how each voter votes
+given the hidden class, and from the residuals which voters are correlated; correlated votes count for less. A sparse
+logistic regression on the presence of hashed words is trained on the posterior labels, and scores every whole text.
 
 Defined results: null and empty texts get the score of a text without any known word; doc_ids without a document,
-null labels and repeated labels (the highest counts) are allowed; without any labelled row all scores are 0.
+null labels and repeated labels (the highest counts) are allowed; rows that repeat a document get equal scores, and
+count in the sample as often as they are there; texts of any length are scored whole; other columns don't matter;
+without any labelled row, or with one label only, all scores are 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ SIZE = len(COUNTS) << BITS
 #: Expected number of rows that are learned from, for label 1 and 0.
 SAMPLE = (1500, 2500)
 THRESHOLD = 0.3
-#: Mined voters, and the least documents a mined feature is in; correlations that count; features of the classifier.
-MINED, LEAST = 40, 5
+#: Mined lexicons, the most features dealt over them, the least documents of label 1 each is in and its least log odds.
+MINED, MOST_MINED, LEAST, ODDS = 8, 400, 8, 2.0
+#: A lexicon votes 1 from the density on above which so many of the sample are of label 1, and a mined one 0 below the
+#: density under which the share of label 1 is so small a part of that of the whole sample; sizes below SHORT are SHORT.
+PRECISION, RESIDUE, SHORT = 0.9, 0.25, 40
+#: Correlations that count; features of the classifier, and the least documents each is in.
 CORRELATED = 0.15
-FEATURES = 4000
-#: How often the annotators are taken to be right; the other voters' accuracies are estimated.
-ANNOTATORS = 0.995
+FEATURES, COMMON = 4000, 5
 
 #: Seed lexicons, one voter each. Fixed values.
 LEXICONS = (
@@ -105,41 +110,47 @@ def sample(docs: DataFrame, labels: DataFrame, learn=None) -> list[tuple[np.ndar
     return [(got["b"][i].values.to_numpy(), got["p"][i].as_py(), got["toxic"][i].as_py()) for i in range(got.num_rows)]
 
 
-def votes(rows: list[tuple[np.ndarray, list[bool], int]]) -> np.ndarray:
-    """Rows x voters: 1 (toxic), 0 (clean) or -1 (abstains). The last voter is the annotators' label."""
+def mined_lexicons(rows: list[tuple[np.ndarray, list[bool], int]]) -> list[np.ndarray]:
+    """Features that label 1 has more often, dealt over MINED lexicons, so that each covers all kinds of text."""
     y = np.array([r[2] for r in rows])
     counts = [np.bincount(np.concatenate([r[0] for r in rows if r[2] == c] or [np.zeros(0, np.int64)]).astype(np.int64), minlength=SIZE) for c in (0, 1)]
     odds = np.log((counts[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((counts[0] + 0.5) / ((y == 0).sum() + 1))
-    odds[counts[1] < LEAST] = -np.inf
-    mined: list[int] = []
-    support: list[set[int]] = []
-    where: dict[int, set[int]] = {m: set() for m in np.argsort(-np.maximum(odds, 0) * np.sqrt(counts[1]), kind="stable")[: 40 * MINED].tolist() if odds[m] > 1.5}
-    for i, (buckets, _, label) in enumerate(rows):
-        if label:
-            for f in where.keys() & set(buckets.tolist()):
-                where[f].add(i)
-    for f, docs in where.items():  # unlike voters: none that finds much the same rows as one before it
-        if len(mined) < MINED and all(len(docs & s) < 0.8 * len(docs | s) for s in support):
-            mined.append(f)
-            support.append(docs)
-    lists = [[_word(w) for w in words] for words in LEXICONS] + [[f] for f in mined]
-    everything = np.zeros(SIZE, bool)
-    everything[[b for words in lists for b in words]] = True
-    out = np.full((len(rows), len(lists) + len(PATTERNS) + 2), -1, np.int8)
-    for i, (buckets, patterns, label) in enumerate(rows):
-        present = set(buckets[everything[buckets]].tolist())
-        for k, words in enumerate(lists):
-            if not present.isdisjoint(words):
-                out[i, k] = 1
-        for k, (found, (_, vote)) in enumerate(zip(patterns, PATTERNS, strict=True)):
-            if found:
-                out[i, len(lists) + k] = vote
-        if not present:
-            out[i, -2] = 0  # no lexicon has a word of it
-        out[i, -1] = label
+    good = np.flatnonzero((odds > ODDS) & (counts[1] >= LEAST))
+    best = good[np.argsort(-odds[good] * np.sqrt(counts[1][good]), kind="stable")][:MOST_MINED]
+    return [best[i::MINED] for i in range(MINED)]
+
+
+def density_votes(density: np.ndarray, y: np.ndarray, both: bool) -> np.ndarray:
+    """Votes of one lexicon: 1 from the least density on above which a share of PRECISION has label 1; if both, 0 below
+    the largest under which label 1 is rare; else it abstains."""
+    order = np.argsort(-density, kind="stable")
+    seen = np.arange(1, len(y) + 1)
+    sure = np.flatnonzero((np.cumsum(y[order]) >= PRECISION * seen) & (density[order] > 0))
+    high = density[order[sure[-1]]] if len(sure) else np.inf
+    out = np.where(density >= high, 1, -1).astype(np.int8)
+    if both:
+        clean = np.flatnonzero(np.cumsum(y[order[::-1]]) <= RESIDUE * y.mean() * seen)
+        low = density[order[::-1][clean[-1]]] if len(clean) else 0.0
+        out[(density <= low) & (density < high)] = 0
     return out
 
 
+def votes(rows: list[tuple[np.ndarray, list[bool], int]]) -> np.ndarray:
+    """Rows x voters: 1 (toxic), 0 (clean) or -1 (abstains): the seed lexicons, the patterns, the mined lexicons."""
+    y = np.array([r[2] for r in rows])
+    size = np.maximum(SHORT, [np.count_nonzero(r[0] < 1 << BITS) for r in rows])
+
+    def densities(lexicons: list[np.ndarray]) -> np.ndarray:
+        which = np.full(SIZE, len(lexicons))
+        for k, features in enumerate(lexicons):
+            which[features] = k
+        return np.stack([np.bincount(which[r[0]], minlength=len(lexicons) + 1)[:-1] for r in rows]) / size[:, None]
+
+    seeds, mined = densities([np.array([_word(w) for w in words]) for words in LEXICONS]), densities(mined_lexicons(rows))
+    patterns = [np.array([vote if r[1][k] else -1 for r in rows], np.int8) for k, (_, vote) in enumerate(PATTERNS)]
+    return np.stack([*(density_votes(d, y, False) for d in seeds.T), *patterns, *(density_votes(d, y, True) for d in mined.T)], 1)
+
+
 @dataclass
 class LabelModel:
     prior: float
@@ -158,11 +169,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(np.log(self.prior / (1 - self.prior)) + ratio, -30, 30)))
 
 
-def fit_label_model(v: np.ndarray, prior: float, rounds: int = 10) -> LabelModel:
-    """Expectation-maximisation that starts from the last voter's votes. Correlations come from what the votes' means
-    by class leave over."""
+def fit_label_model(v: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
+    """Expectation-maximisation that starts from the share of votes for class 1. Correlations come from what the votes'
+    means by class leave over."""
     n, m = v.shape
-    post = np.where(v[:, -1] == 1, 0.95, 0.05)
+    ones, cast_votes = (v == 1).sum(axis=1), (v >= 0).sum(axis=1)
+    post = np.clip(ones / np.maximum(cast_votes, 1), 0.02, 0.98)
     model = LabelModel(prior, np.ones((m, 2, 3)), np.zeros((m, m)))
     cast = np.where(v >= 0, 2.0 * v - 1, 0.0)
     for _ in range(rounds):
@@ -170,7 +182,6 @@ def fit_label_model(v: np.ndarray, prior: float, rounds: int = 10) -> LabelModel
             for vote in range(3):
                 model.table[:, c, vote] = ((v == vote - 1) * weight[:, None]).sum(axis=0) + 0.5
             model.table[:, c] /= model.table[:, c].sum(axis=1, keepdims=True)
-            model.table[-1, c] = 1e-9, *((ANNOTATORS, 1 - ANNOTATORS) if c == 0 else (1 - ANNOTATORS, ANNOTATORS))
         residual = cast - sum(np.outer(w, w @ cast / w.sum()) for w in (1 - post, post))
         residual /= residual.std(axis=0) + 1e-9
         corr = np.abs(residual.T @ residual / n)
@@ -204,7 +215,7 @@ def fit_classifier(rows: list[tuple[np.ndarray, list[bool], int]], target: np.nd
     often = np.bincount(flat, minlength=SIZE)
     mean = (weight @ target) / total
     gain = np.abs(np.bincount(flat, (weight * (target - mean))[owner], SIZE)) / np.sqrt(often + 5.0)
-    gain[often < LEAST] = 0
+    gain[often < COMMON] = 0
     chosen = np.zeros(SIZE, bool)
     chosen[np.argsort(-gain, kind="stable")[:FEATURES]] = True
     kept = chosen[flat]

@@ -133,6 +133,24 @@ def test_label_model_finds_accuracies_and_copies():
     assert ((m.posterior(v) > 0.5) == y).mean() > 0.95
 
 
+def test_labels_are_no_voter():
+    """Rows that differ in their label only get the same votes and so the same posterior."""
+    rng = np.random.default_rng(1)
+    bad, common = np.arange(100, 140), np.arange(1000, 3000)
+    rows = []
+    for i in range(600):
+        label = int(i % 4 == 0)
+        features = rng.choice(common, 60, replace=False)
+        rows.append((np.concatenate([features, rng.choice(bad, 12, replace=False)]) if label else features, [False] * len(toxicity.PATTERNS), label))
+    flipped = [(f, p, 1 - y) if i < 8 else (f, p, y) for i, (f, p, y) in enumerate(rows)]
+    v = toxicity.votes(flipped)
+    post = toxicity.fit_label_model(v, 0.25).posterior(v)
+    truth = np.array([y for _, _, y in rows])
+    assert ((post > 0.5) == truth).all()  # of the eight with the wrong label too
+    twins = toxicity.votes([*flipped, *((f, p, 1 - y) for f, p, y in flipped[:1])])
+    assert (twins[0] == twins[-1]).all()
+
+
 # ------------------------------------------------------------------ 3
 
 
