@@ -29,8 +29,8 @@ def close_arrays(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     return (a.isNull() & b.isNull()) | F.forall(places, lambda i: close(F.get(a, i), F.get(b, i), tolerance))
 
 
-def diff(gold: DataFrame, test: DataFrame, threshold: float = TOLERANCE, per_allele: tuple[str, ...] = ("ad",), per_genotype: tuple[str, ...] = ("pl",), scalars: tuple[str, ...] = ("qual",), sets: tuple[str, ...] = ()) -> DataFrame:
-    """contig, pos, kind (`only in gold`, `only in test`, `partial block`, `differs`) and field (where it differs)."""
+def diff(gold: DataFrame, test: DataFrame, threshold: float = TOLERANCE, per_allele: tuple[str, ...] = ("ad",), per_genotype: tuple[str, ...] = ("pl",), scalars: tuple[str, ...] = ("qual",), sets: tuple[str, ...] = (), ploidy: Column | None = None) -> DataFrame:
+    """ploidy: of a record, as a column of `g` and `t` (the gold and the test record); diploid without it. contig, pos, kind (`only in gold`, `only in test`, `partial block`, `differs`) and field (where it differs)."""
     key = ["contig", "pos", "col_end", "ref"]
     g = gold.select(*key, F.struct(*[c for c in gold.columns if c not in key]).alias("g"))
     t = test.select(*key, F.struct(*[c for c in test.columns if c not in key]).alias("t"))
@@ -47,11 +47,14 @@ def diff(gold: DataFrame, test: DataFrame, threshold: float = TOLERANCE, per_all
     met = both.where("g is not null and t is not null")
     source = F.concat(F.array(F.lit(0)), F.transform("g.alt", lambda a: F.nullif(F.array_position(F.col("t.alt"), a), F.lit(0).cast("long")).cast("int")))
     met = met.withColumn("_src", source)
+    for n in per_genotype:  # columns of their own: the function for higher ploidies can't be called within a lambda
+        theirs = F.col(f"t.{n}")
+        met = met.withColumn(f"_in_order_{n}", A.remap_diploid(theirs, F.col("_src")) if ploidy is None else A.remap_genotypes(theirs, F.col("_src"), ploidy))
     checks = {"alt": F.array_sort("g.alt") == F.array_sort("t.alt")}
     checks |= {n: close(F.col(f"g.{n}"), F.col(f"t.{n}"), threshold) for n in scalars}
     checks |= {n: F.array_sort(f"g.{n}").eqNullSafe(F.array_sort(f"t.{n}")) for n in sets}
     checks |= {n: close_arrays(F.col(f"g.{n}"), A.remap_alleles(F.col(f"t.{n}"), F.col("_src")), threshold) for n in per_allele}
-    checks |= {n: close_arrays(F.col(f"g.{n}"), A.remap_diploid(F.col(f"t.{n}"), F.col("_src")), threshold) for n in per_genotype}
+    checks |= {n: close_arrays(F.col(f"g.{n}"), F.col(f"_in_order_{n}"), threshold) for n in per_genotype}
     wrong = F.array_compact(F.array(*(F.when(~ok, F.lit(n)) for n, ok in checks.items())))
     differing = met.select("contig", "pos", F.lit("differs").alias("kind"), F.explode(wrong).alias("field"))
     return lonely.unionByName(differing)

@@ -17,6 +17,9 @@ from locusweave.functions.combine import COMBINE
 from locusweave.operators.intervals import sweep
 
 
+MOVED = "move_to_FORMAT"
+
+
 @dataclass(frozen=True)
 class Spec:
     """What to merge: fields by their shape, and how INFO fields are combined."""
@@ -26,7 +29,8 @@ class Spec:
     per_alt: tuple[str, ...] = ()
     per_genotype: tuple[str, ...] = ("pl",)
     per_allele_2d: tuple[str, ...] = ()
-    #: INFO field -> (operation, type).
+    #: INFO field -> (operation, type). What has the operation MOVED is not combined: every call keeps its own value, as a
+    #: FORMAT field.
     info: dict[str, tuple[str, str]] = field(default_factory=lambda: {"rank_sum": ("median", "double")})
     #: FORMAT fields that are passed on as they are.
     format: tuple[str, ...] = ("gq", "sb")
@@ -80,8 +84,8 @@ def rewrite_spanning(active: DataFrame, spec: Spec) -> DataFrame:
     for n in spec.per_genotype:
         again = A.remap_genotypes(F.when(on, F.col(n)), src, ploidy) if spec.general_ploidy else A.remap_diploid(F.col(n), src)
         new[n] = F.when(on, again).otherwise(F.col(n))
-    for n in spec.info:
-        if n != "dp":
+    for n, (op, _) in spec.info.items():
+        if n != "dp" and op != MOVED:
             new[n] = F.when(~on, F.col(n))
     gt = F.transform("gt", lambda a: F.when(a <= 0, a).otherwise(F.coalesce(F.nullif(F.array_position(src, a), F.lit(0).cast("long")) - 1, F.size(src).cast("long") - 1)).cast("int"))
     gt = F.when(on, gt).otherwise(F.col("gt"))
@@ -154,7 +158,7 @@ def combine_gvcf(calls: DataFrame, spec: Spec | None = None, begin: int | None =
     columns = set(calls.columns)
     blocks = F.forall("calls", lambda c: c["alt"] == F.array(F.lit(A.NON_REF)))
     out = remap_calls(merged.withColumn("_blocks", blocks), spec)
-    info = {n: COMBINE[op](_values(n), kind).alias(n) for n, (op, kind) in spec.info.items()}
+    info = {n: COMBINE[op](_values(n), kind).alias(n) for n, (op, kind) in spec.info.items() if op != MOVED}
     dp = F.when(~F.col("_blocks"), info_dp(F.col("calls"))) if {"dp", "min_dp", "dp_format"} <= columns else F.lit(None).cast("long")
     ids = COMBINE["ids"](_values("id")) if "id" in columns else F.lit(None).cast("string")
     filters = COMBINE["union"](_values("filter")) if "filter" in columns else F.lit(None).cast("array<string>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusweave.functions import alleles as A
 from locusweave.operators.merge import Spec, gather, merge_alleles, remap_calls, rewrite_spanning
-from locusweave.operators.intervals import overlap, sweep
+from locusweave.operators.intervals import BIN, overlap, sweep
 
 
 def variants(calls: DataFrame, intervals: DataFrame, spec: Spec | None = None) -> DataFrame:
@@ -20,9 +20,13 @@ def variants(calls: DataFrame, intervals: DataFrame, spec: Spec | None = None) -
     named = grouped.withColumn("ref", F.col("r")).withColumn("alt", F.get("calls", F.lit(0))["alt"])
     named = named.withColumn("calls", F.transform("calls", lambda c: c.withField("mine", c["alt"]).withField("source", A.sources(F.col("alt"), c["alt"]))))
     out = remap_calls(named, spec)
-    first = F.get("calls", F.lit(0))["row_idx"]
-    number = F.row_number().over(Window.partitionBy("interval_id").orderBy("b", "_first", "e")) - 1
-    return out.withColumn("_first", first).withColumn("number", number).select("interval_id", "contig", F.col("b").alias("col_begin"), F.col("e").alias("eff_end"), "ref", "alt", "calls", "number")
+    out = out.withColumns({"_first": F.get("calls", F.lit(0))["row_idx"], "_part": F.expr(f"b div {BIN}")})
+    # numbers count on from bin to bin: no task holds a whole interval
+    per = found.select("interval_id", "contig", F.col("col_begin").alias("b"), "eff_end", "ref", "_set").distinct().groupBy("interval_id", F.expr(f"b div {BIN}").alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("interval_id").orderBy("_part")) - F.col("_n")
+    out = out.join(per.select("interval_id", "_part", before.alias("_before")), ["interval_id", "_part"])
+    number = F.col("_before") + F.row_number().over(Window.partitionBy("interval_id", "_part").orderBy("b", "_first", "e")) - 1
+    return out.withColumn("number", number).select("interval_id", "contig", F.col("b").alias("col_begin"), F.col("e").alias("eff_end"), "ref", "alt", "calls", "number")
 
 
 def page(rows: DataFrame, size: int, token: str | None = None) -> tuple[DataFrame, str | None]:

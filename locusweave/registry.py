@@ -365,6 +365,13 @@ def combined_gvcf(spark, sf):
     return r.select("contig", "s", "t", "ref", text("alt").alias("alts"), "rank_sum", "dp", "ids", F.size("calls").cast("long").alias("n_calls"), pls.alias("pls"))
 
 
+@query(MERGED + " SELECT contig, s, row_idx, rank_sum FROM (SELECT m.contig, m.s, m.row_idx, a.rank_sum FROM merged m JOIN act a ON a.contig = m.contig AND a.s = m.s AND a.row_idx = m.row_idx)")
+def move_to_format(spark, sf):
+    """An INFO field as a FORMAT field: every call of a record has its own value."""
+    r = merge.combine_gvcf(calls(spark, sf), merge.Spec(per_allele=(), per_genotype=(), format=(), info={"rank_sum": (merge.MOVED, "double")}))
+    return by_call(r, rank_sum=lambda c: c["rank_sum"])
+
+
 @query(SWEEP + """, rows AS (SELECT DISTINCT row_idx FROM calls), sg AS (SELECT DISTINCT contig, s FROM active), m AS (SELECT contig, s, max(len(ad)) AS n FROM active GROUP BY ALL)
 SELECT sg.contig, sg.s, r.row_idx, 'sample' || r.row_idx AS sample, a.dp_format, array_to_string(list_transform(range(1, m.n + 1), lambda i: coalesce(CAST(a.ad[i] AS VARCHAR), '.')), ',') AS ads
 FROM sg CROSS JOIN rows r JOIN m ON m.contig = sg.contig AND m.s = sg.s LEFT JOIN active a ON a.contig = sg.contig AND a.s = sg.s AND a.row_idx = r.row_idx""")

@@ -27,6 +27,21 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, rows:
     return df.select(columns) if columns else df.drop("bin")
 
 
+def features(spark: SparkSession, path: str, contigs: DataFrame, contig: str | None = None, start: int = 1, end: int | None = None, longest: int | None = None) -> DataFrame:
+    """Calls of a table by contig (in the contigs' order), then start: all of them, or those that overlap start to end
+    (from 1, inclusive) of one contig, with `start` and `end` on their contig. contigs: name, offset, length."""
+    place = contigs.select(F.col("name").alias("contig"), "offset", "length")
+    if contig is None:
+        calls = scan(spark, path)
+    else:
+        at = place.where(F.col("contig") == contig).first()
+        if at is None:
+            return scan(spark, path).where("false").join(F.broadcast(place.drop("length")), "contig").withColumns({"start": F.lit(0).cast("long"), "end": F.lit(0).cast("long")}).drop("offset")
+        calls = scan(spark, path, None, None, at.offset + start - 1, at.offset + (end or at.length) - 1, longest).where(F.col("contig") == contig)
+    found = calls.join(F.broadcast(place.drop("length")), "contig").withColumns({"start": F.col("col_begin") - F.col("offset") + 1, "end": F.col("col_end") - F.col("offset") + 1})
+    return found.orderBy("offset", "col_begin", "row_idx").drop("offset")
+
+
 def compact(spark: SparkSession, path: str, to: str, width: int = 100 * BIN) -> None:
     """Rewrite a table that grew by many small appends."""
     write_calls(spark.read.parquet(path).drop("bin"), to, "overwrite", width)
@@ -75,13 +90,29 @@ def _names(fields: list[str]) -> list[tuple[str, str]]:
     return [(f.upper() if f in ("ref", "alt", "gt", "id", "qual", "filter") else f, f) for f in fields]
 
 
-def variants_json(variants: DataFrame) -> DataFrame:
-    """interval_id, number, json: one object per variant with common fields and its calls."""
-    common = F.struct(F.col("ref").alias("REF"), F.col("alt").alias("ALT"))
-    drop = ("mine", "source")
-    kept = [f.name for f in variants.schema["calls"].dataType.elementType.fields if f.name not in drop]
-    calls = F.transform("calls", lambda c: F.struct(*(c[n].alias(n) for n in kept)))
-    return variants.select("interval_id", "number", F.to_json(F.struct(F.array("col_begin", "eff_end").alias("interval"), common.alias("common_fields"), calls.alias("variant_calls"))).alias("json"))
+def _fixed(c: Column, kind) -> Column:
+    """Numbers with a fraction get six digits; lists of a single element stay lists."""
+    if kind.typeName() == "array":
+        return F.transform(c, lambda x: _fixed(x, kind.elementType)) if kind.elementType.typeName() in ("float", "double") else c
+    return c.cast("decimal(38, 6)") if kind.typeName() in ("float", "double") else c
+
+
+def variants_json(variants: DataFrame, contigs: DataFrame, common: tuple[str, ...] = ()) -> DataFrame:
+    """interval_id, number, json: one object per variant with its interval, in columns and on its contig (from 1), the
+    common fields asked for and its calls; absent fields are left out. contigs: name, offset."""
+    v = variants.join(F.broadcast(contigs.select(F.col("name").alias("contig"), "offset")), "contig")
+    where = lambda b, e: {"interval": F.array(b, e), "genomic_interval": F.create_map(F.col("contig"), F.array(b - F.col("offset") + 1, e - F.col("offset") + 1))}
+    kinds = {f.name: f.dataType for f in variants.schema["calls"].dataType.elementType.fields}
+    shown = [(n, c) for n, c in _names([k for k in kinds if k not in ("mine", "source", "row_idx", "col_begin", "col_end")])]
+
+    def call(c: Column) -> Column:
+        place = where(c["col_begin"], c["col_end"]) if {"col_begin", "col_end"} <= set(kinds) else where(F.col("col_begin"), F.col("eff_end"))
+        fields = F.struct(*(_fixed(c[k], kinds[k]).alias(n) for n, k in shown))
+        return F.struct(c["row_idx"].alias("row"), *(x.alias(n) for n, x in place.items()), fields.alias("fields"))
+
+    place = [x.alias(n) for n, x in where(F.col("col_begin"), F.col("eff_end")).items()]
+    shared = F.struct(*(F.col(k).alias(n) for n, k in _names(list(common)))) if common else F.create_map().cast("map<string, string>")
+    return v.select("interval_id", "number", F.to_json(F.struct(*place, shared.alias("common_fields"), F.transform("calls", call).alias("variant_calls"))).alias("json"))
 
 
 def column_vectors(calls: DataFrame, fields: list[str], by: str = "interval_id") -> DataFrame:

@@ -15,11 +15,26 @@ from locusweave.operators.merge import encode_gt
 HEAD = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"]
 
 
+#: Combine operations that add up. Fixed values.
+SUMMED = ("sum", "DP", "element_wise_sum", "histogram_sum")
+
+
 def divide(value: Column, idx: Column, n: int) -> Column:
     """A whole number split over n samples: the first ones get one more."""
     return F.floor(value / n) + F.when(idx < value % n, 1).otherwise(0)
 
 
+def summed_fields(fields: dict[str, dict]) -> tuple[str, ...]:
+    """INFO fields that are summed when calls are combined, and so are divided among the samples of a file."""
+    return tuple(n for n, f in fields.items() if "INFO" in f["classes"] and f["combine"] in SUMMED and f["types"][0] in ("int", "float"))
+
+
+def _share(value: Column, kind: str, length: str) -> Column:
+    """A sample's part of an INFO value: by its place among the samples of its file."""
+    one = lambda v: (divide(v, F.col("_s.at"), F.size("samples")) if kind == "int" else v / F.size("samples")).cast(kind)
+    return one(value) if length == "1" else F.transform(value, one)
+
+
 def headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Sample names of each file of a path, by file in order."""
     rows = spark.read.text(path).where(F.col("value").startswith("#CHROM")).select(F.input_file_name().alias("file"), "value").collect()
@@ -57,11 +72,13 @@ def expected_length(length: str, n_alt: Column, ploidy: Column | None = None) ->
     return F.lit(int(length)) if length.isdigit() else None
 
 
-def read_vcf(spark: SparkSession, path: str, fields: dict[str, dict], contigs: DataFrame, rows: dict[str, int] | None = None, deletions_as_intervals: bool = True, discard_missing_gt: bool = False, check_lengths: bool = True) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, fields: dict[str, dict], contigs: DataFrame, rows: dict[str, int] | None = None, deletions_as_intervals: bool = True, discard_missing_gt: bool = False, check_lengths: bool = True, divided: tuple[str, ...] = (), within: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """Calls of a VCF: row_idx, sample, contig, col_begin, col_end, ref, alt, id, qual, filter, INFO and FORMAT fields; a field
     that is both has its FORMAT value in <name>_FORMAT. Columns are global positions from 0. rows: sample -> row_idx (all
     samples in order, if not given). A length that contradicts the configuration is an error naming the place. The files
-    of a path may have samples of their own; of an INFO key that repeats the first value counts."""
+    of a path may have samples of their own; of an INFO key that repeats the first value counts. divided: INFO fields whose
+    values are split over all samples of their file (summed_fields). within: only calls that reach into one of these
+    intervals (interval_id, begin, end) of columns, as metadata.parse_intervals gives them."""
     lines, names = read_lines(spark, path)
     rows = rows or {n: i for i, n in enumerate(names)}
     of_file = [(file, [(n, rows[n], i) for i, n in enumerate(its) if n in rows]) for file, its in headers(spark, path).items()]
@@ -96,6 +113,8 @@ def read_vcf(spark: SparkSession, path: str, fields: dict[str, dict], contigs: D
             if check_lengths and want is not None and kind not in ("string", "boolean"):
                 bad = F.contains(text, F.lit(",")) if length == "1" else value.isNotNull() & (F.size(value) != want)
                 value = F.when(bad, F.raise_error(F.concat(F.lit(f"{name} has a wrong number of elements at "), "chrom", F.lit(":"), F.col("pos").cast("string"), F.lit(" for "), F.col("_s.sample"))).cast(kind if length == "1" else f"array<{kind}>")).otherwise(value)
+            if cls == "INFO" and name in divided:
+                value = _share(value, kind, length)
             out[f"{name}_FORMAT" if both and cls == "FORMAT" else name] = value
     gt = part("GT")
     alleles = F.transform(F.split(gt, "[/|]"), lambda a: F.when(a == ".", F.lit(-1)).otherwise(a.cast("int")))
@@ -106,12 +125,25 @@ def read_vcf(spark: SparkSession, path: str, fields: dict[str, dict], contigs: D
         F.when(F.col("id") != ".", F.col("id")).alias("id"), F.when(F.col("qual") != ".", F.col("qual")).try_cast("float").alias("qual"), filters.alias("filter"),
         F.when(gt.isNotNull(), alleles).alias("gt"), F.when(gt.isNotNull(), phased).alias("gt_phased"), *(v.alias(n) for n, v in out.items()),
     )
+    if within is not None:
+        calls = reaching(calls, within)
     return calls.where(F.col("gt").isNull() | F.exists("gt", lambda a: a >= 0)) if discard_missing_gt else calls
 
 
-def divide_info(calls: DataFrame, names: list[str], n: int) -> DataFrame:
-    """INFO fields that will be summed, split over a file's n samples (row_idx within the file in _idx)."""
-    return calls.withColumns({c: divide(F.col(c), F.col("_idx"), n) if calls.schema[c].dataType.typeName() in ("integer", "long") else F.col(c) / n for c in names})
+def reaching(calls: DataFrame, within: list[tuple[int, int, int]]) -> DataFrame:
+    """The calls that reach into any of a list of intervals, once each. Intervals that touch are put together first, so a
+    call needs to look only at the last one that begins before its end."""
+    merged: list[list[int]] = []
+    for _, begin, end in sorted(within, key=lambda x: x[1:]):
+        if merged and begin <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([begin, end])
+    if not merged:
+        return calls.where("false")
+    listed = F.lit([b for b, _ in merged]).cast("array<long>"), F.lit([e for _, e in merged]).cast("array<long>")
+    before = F.size(F.filter(listed[0], lambda b: b <= F.col("col_end")))
+    return calls.where((before > 0) & (F.get(listed[1], before - 1) >= F.col("col_begin")))
 
 
 def to_vcf_lines(records: DataFrame, samples: list[str], contigs: DataFrame, info: dict[str, str], formats: dict[str, str], produce_gt: bool = True, produce_filter: bool = True) -> DataFrame:

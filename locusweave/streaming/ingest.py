@@ -28,13 +28,23 @@ def duplicates_in_batch(batch: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return batch.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def start_import_stream(source: DataFrame, table: str, checkpoint: str, key: tuple[str, ...] = (), on_batch: Callable[[int], None] | None = None, available_now: bool = True) -> StreamingQuery:
+def out_of_order(batch: DataFrame, before: DataFrame, stream: str, position: str) -> DataFrame:
+    """The streams of a batch that begin before the end of what came before."""
+    ends = before.groupBy(stream).agg(F.max(position).alias("_last"))
+    return batch.groupBy(stream).agg(F.min(position).alias("_first")).join(ends, stream).where("_first < _last")
+
+
+def start_import_stream(source: DataFrame, table: str, checkpoint: str, key: tuple[str, ...] = (), on_batch: Callable[[int], None] | None = None, available_now: bool = True, ordered: tuple[str, str] | None = None) -> StreamingQuery:
     """Append a stream to a Parquet table, partitioned by batch. key: columns that must be unique within a batch.
-    on_batch is called with the id of each batch that is written."""
+    ordered: (stream, position) columns: a stream (such as row_idx) whose batch begins before the end of what is in the
+    table already is an error. on_batch is called with the id of each batch that is written; as a batch can be replayed,
+    it may get the same id again."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if key and not duplicates_in_batch(batch, key).isEmpty():
             raise ValueError(f"batch {batch_id} has cells that repeat {', '.join(key)}")
+        if ordered and batch_id and not out_of_order(batch, batch.sparkSession.read.parquet(table).where(F.col("batch_id") < batch_id), *ordered).isEmpty():
+            raise ValueError(f"batch {batch_id} has cells before those of earlier batches")
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table)
         if on_batch:
             on_batch(batch_id)

@@ -1,9 +1,12 @@
 """Combined records, variants and files against known cells."""
 
+import json
+
 import cells
 import pytest
 from pyspark.sql import functions as F
 
+from locusweave.functions import alleles as A
 from locusweave.operators import diff, intervals, merge, variants
 from locusweave.sources import csv_cells, metadata, sinks, vcf
 
@@ -152,7 +155,61 @@ def test_variants(spark, calls):
     q = spark.createDataFrame([(0, 0, 10**9)], "interval_id int, qb long, qe long")
     v = variants.variants(calls, q, SPEC).orderBy("number").collect()
     assert [(r.col_begin, [c.row_idx for c in r.calls]) for r in v] == [(12140, [0]), (12144, [1]), (17384, [0, 2]), (17384, [1])]
-    assert sinks.variants_json(variants.variants(calls, q, SPEC)).count() == 4
+    contigs = spark.createDataFrame([("1", 249250621, 0)], "name string, length long, offset long")
+    found = {r.number: json.loads(r.json, parse_float=str) for r in sinks.variants_json(variants.variants(calls, q, SPEC), contigs).collect()}
+    assert len(found) == 4 and (found[0]["interval"], found[0]["genomic_interval"], found[0]["common_fields"]) == ([12140, 12294], {"1": [12141, 12295]}, {})
+    first, second = found[2]["variant_calls"]
+    assert (first["row"], second["row"], first["genomic_interval"], first["fields"]["REF"], first["fields"]["ALT"]) == (0, 2, {"1": [17385, 17385]}, "G", ["A", "<NON_REF>"])
+    assert (first["fields"]["MQ"], first["fields"]["RAW_MQ"], second["fields"]["BaseQRankSum"]) == ("31.719999", "5.500000", "1.046000") and "RAW_MQ" not in second["fields"]
+
+
+def test_variant_numbers_go_on_from_bin_to_bin(spark):
+    rows = [(r, "1", b, b, "A", ["C"], [0, 1]) for b in range(100, 90_000, 7_000) for r in (0, 1)] + [(2, "1", 100, 100, "A", ["G"], [0, 1])]
+    calls = spark.createDataFrame(rows, "row_idx long, contig string, col_begin long, col_end long, ref string, alt array<string>, gt array<int>")
+    q = spark.createDataFrame([(0, 0, 10**9), (1, 50_000, 60_000)], "interval_id int, qb long, qe long")
+    v = variants.variants(calls, q, merge.Spec(per_allele=(), per_genotype=(), info={}, format=())).collect()
+    for i, n in ((0, 14), (1, 1)):
+        mine = sorted(((r.number, r.col_begin, r.calls[0].row_idx) for r in v if r.interval_id == i))
+        assert [m[0] for m in mine] == list(range(n)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+
+
+def test_info_field_moved_to_format(spark, deletions):
+    spec = merge.Spec(info={"BaseQRankSum": (merge.MOVED, "float"), "MQ": ("median", "float")}, format=())
+    out = {r.s + 1: r for r in merge.combine_gvcf(deletions, spec).collect()}
+    assert "BaseQRankSum" not in out[8029500].asDict()
+    for s in (8029500, 8029501):  # a spanning deletion drops INFO fields, not those that are FORMAT fields now
+        assert [round(c.BaseQRankSum, 3) for c in out[s].calls] == [1.067, 1.82, -0.703]
+    assert out[8029501].MQ is None
+
+
+def test_values_divided_among_samples(spark, tmp_path):
+    (tmp_path / "a.vcf").write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tA\tB\tC\n" + "".join(f"1\t{p}\t.\tC\tT\t.\t.\tDP=11;RAW_MQ=6;MQ=7\tGT\t0|1\t0/1\t1/1\n" for p in (10, 20, 30)))
+    kind = lambda t, op: {"vcf_field_class": ["INFO"], "type": t, "length": 1, "VCF_field_combine_operation": op}
+    fields = metadata.fields({"fields": {"DP": kind("int", "sum"), "RAW_MQ": kind("float", "sum"), "MQ": kind("float", "median")}})
+    contigs = spark.createDataFrame([("1", 1000, 0)], "name string, length long, offset long")
+    assert vcf.summed_fields(fields) == ("DP", "RAW_MQ")
+    calls = vcf.read_vcf(spark, str(tmp_path), fields, contigs, divided=vcf.summed_fields(fields), within=[(0, 0, 12), (1, 25, 40), (2, 9, 10)])
+    assert sorted((r.sample, r.col_begin, r.DP, r.RAW_MQ, r.MQ) for r in calls.collect()) == [(n, p, dp, 2.0, 7.0) for n, dp in (("A", 4), ("B", 4), ("C", 3)) for p in (9, 29)]
+    assert vcf.reaching(calls, []).count() == 0
+
+
+def test_features_in_order(spark, tmp_path):
+    rows = [(0, "b", 105, 110), (1, "a", 50, 60), (0, "a", 7, 55), (2, "b", 101, 101)]
+    sinks.write_calls(spark.createDataFrame(rows, "row_idx long, contig string, col_begin long, col_end long"), f"{tmp_path}/t")
+    contigs = spark.createDataFrame([("b", 50, 100), ("a", 100, 0)], "name string, length long, offset long")
+    get = lambda *a: [(r.contig, r.start, r.end, r.row_idx) for r in sinks.features(spark, f"{tmp_path}/t", contigs, *a).collect()]
+    assert get() == [("a", 8, 56, 0), ("a", 51, 61, 1), ("b", 2, 2, 2), ("b", 6, 11, 0)]
+    assert get("a", 57, 70) == [("a", 51, 61, 1)] and get("b") == [("b", 2, 2, 2), ("b", 6, 11, 0)] and get("c") == []
+
+
+def test_difference_of_triploid_records(spark):
+    gold = spark.createDataFrame([("1", 5, 5, "A", ["C", "G"], 1.0, [1, 2, 3], list(range(10)))], "contig string, pos long, col_end long, ref string, alt array<string>, qual double, ad array<int>, pl array<int>")
+    order = [0, 2, 1]  # the other order of ALT
+    place = {g: i for i, g in enumerate(A.genotypes(3, 3))}
+    swapped = [place[tuple(sorted(order[a] for a in g))] for g in A.genotypes(3, 3)]
+    test = spark.createDataFrame([("1", 5, 5, "A", ["G", "C"], 1.0, [1, 3, 2], swapped)], gold.schema)
+    assert diff.diff(gold, test, ploidy=F.lit(3)).count() == 0
+    assert [r.field for r in diff.diff(gold, gold.withColumn("pl", F.array(*map(F.lit, swapped))), ploidy=F.lit(3)).collect()] == ["pl"]
 
 
 def test_table_layout_and_scan(spark, calls, tmp_path):
@@ -179,8 +236,6 @@ def test_overlap_of_intervals(spark, calls):
 
 def test_calls_json(spark, calls):
     q = spark.createDataFrame([(0, 0, 10**9)], "interval_id int, qb long, qe long")
-    import json
-
     found = intervals.overlap(calls, q).withColumn("offset", F.lit(0).cast("long"))
     j = json.loads(sinks.calls_json(found, ["ref", "alt", "gt", "pl"]).first().json)
     assert j["query_interval"] == [0, 10**9] and len(j["variant_calls"]) == 5

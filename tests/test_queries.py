@@ -99,6 +99,8 @@ def test_stream_is_idempotent_and_checks_keys(spark, tmp_path):
     a.unionByName(a).coalesce(1).write.parquet(f"{tmp_path}/twice")
     with pytest.raises(Exception, match="repeat row_idx, col_begin"):
         ingest.append_all(spark, f"{tmp_path}/twice", ("row_idx", "col_begin"))
+    batch = spark.createDataFrame([(1, 3), (1, 9), (2, 1)], "row_idx long, col_begin long")
+    assert [r.row_idx for r in ingest.out_of_order(batch, spark.createDataFrame([(1, 5), (2, 1)], batch.schema), "row_idx", "col_begin").collect()] == [1]
     done = []
     ingest.import_samples(lambda names: spark.createDataFrame([(n,) for n in names], "sample string"), list("abcde"), f"{tmp_path}/samples", 2, done.append)
     assert done == [0, 1, 2] and spark.read.parquet(f"{tmp_path}/samples").count() == 5
