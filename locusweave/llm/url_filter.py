@@ -4,8 +4,9 @@ The model is trained on a small labelled URL table (LABELLED, a fixed value of t
 DataFrame expression: the n-grams of host and path are hashed by MD5 (so that any SQL engine computes the same
 buckets), looked up in the weight array and summed. No Python runs on the executors.
 
-Defined results: a null url, or one without `://`, has empty host and path and is judged by the model's bias alone;
-host, path and rule are never null except rule where none fits; equal rows get equal verdicts; other columns don't matter.
+Defined results: a null url, or one without `://`, has empty host and path and is judged as these are, by the one n-gram of
+their separators; host and path are never null, rule is where none fits; equal rows get equal verdicts; urls of any length
+are judged whole; an empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ BAD_PATHS = ("/casino/bonus", "/xxx/free-video", "/cheap-viagra", "/win/prize.ph
 GOOD_PATHS = ("/en/1203", "/de/2112.html", "/fr/history", "/es/3210", "/articles/2020/science", "/docs/tutorial", "/news/world", "/en/research")
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled URL table."""
-    bad = [(f"http://{h}{p}", 1) for h in BAD_HOSTS for p in BAD_PATHS]
-    good = [(f"http://{h}{p}", 0) for h in GOOD_HOSTS for p in GOOD_PATHS]
-    mixed = [(f"http://{h}{p}", 1) for h in BAD_HOSTS for p in GOOD_PATHS[:2]]
+def labelled_urls(bad_hosts: tuple[str, ...] = BAD_HOSTS, good_hosts: tuple[str, ...] = GOOD_HOSTS) -> list[tuple[str, int]]:
+    """The small labelled URL table, of all its hosts or of some."""
+    bad = [(f"http://{h}{p}", 1) for h in bad_hosts for p in BAD_PATHS]
+    good = [(f"http://{h}{p}", 0) for h in good_hosts for p in GOOD_PATHS]
+    mixed = [(f"http://{h}{p}", 1) for h in bad_hosts for p in GOOD_PATHS[:2]]
     return bad + good + mixed
 
 
@@ -53,9 +54,14 @@ def _features(url: str) -> list[int]:
 
 
 @lru_cache(1)
-def train(epochs: int = 60, rate: float = 1.0, l2: float = 1e-4) -> tuple[float, tuple[float, ...]]:
-    """(bias, weights), by gradient descent over the labelled table; rounded, so that they can be written into SQL."""
-    rows = [(_features(u), y) for u, y in labelled_urls()]
+def train() -> tuple[float, tuple[float, ...]]:
+    """The model of the whole labelled table."""
+    return fit(labelled_urls())
+
+
+def fit(urls: list[tuple[str, int]], epochs: int = 60, rate: float = 1.0, l2: float = 1e-4) -> tuple[float, tuple[float, ...]]:
+    """(bias, weights), by gradient descent over labelled urls; rounded, so that they can be written into SQL."""
+    rows = [(_features(u), y) for u, y in urls]
     w, bias = [0.0] * BUCKETS, 0.0
     for _ in range(epochs):
         step, db = [0.0] * BUCKETS, 0.0
@@ -69,6 +75,12 @@ def train(epochs: int = 60, rate: float = 1.0, l2: float = 1e-4) -> tuple[float,
     return round(bias, 4), tuple(round(x, 4) for x in w)
 
 
+def log_odds(url: str, model: tuple[float, tuple[float, ...]]) -> float:
+    """The same as model_score for one url, to judge a model that is not in use."""
+    f = _features(url)
+    return model[0] + sum(model[1][i] for i in f) / max(1, len(f))
+
+
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", 1)
@@ -101,7 +113,7 @@ def model_score(host: Column, path: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (log-odds of block)."""
+    """page_id, host, path, rule, verdict."""
     host, path = host_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)

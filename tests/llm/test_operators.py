@@ -529,6 +529,18 @@ def test_decontamination(spark, docs, nothing, monkeypatch, block):
 # ------------------------------------------------------------------ 10
 
 
+def test_urls_of_hosts_that_were_held_out():
+    right = total = 0
+    for fold in range(5):
+        keep = lambda hosts: tuple(h for i, h in enumerate(hosts) if i % 5 != fold)
+        model = url_filter.fit(url_filter.labelled_urls(keep(url_filter.BAD_HOSTS), keep(url_filter.GOOD_HOSTS)))
+        out = url_filter.labelled_urls(url_filter.BAD_HOSTS[fold::5], url_filter.GOOD_HOSTS[fold::5])
+        right += sum((url_filter.log_odds(u, model) > 0) == y for u, y in out)
+        total += len(out)
+    print("held-out accuracy", right / total)
+    assert total == len(url_filter.labelled_urls()) and right / total > 0.85
+
+
 def test_url_filter(spark):
     con = duckdb.connect()
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET/en/x?y#z", "https://net/", "https://planet/x", "ftp://x.org/fr/1", "http://example.com/de/", "a://b://c/d", "http://hot-casino.biz/xxx/free", "http://\u00e9t\u00e9.fr/\u00e9?q", "http://x.net:80/", "://net#"]
