@@ -111,8 +111,12 @@ def train(x: np.ndarray, m: int = CODEBOOKS, k: int = CODEWORDS, rounds: int = R
             for i in range(m):
                 np.add.at(both, (flat[:, j], flat[:, i]), 1)
         old = q.codebooks.reshape(m * k, d)
+        del q  # its products are as large as the system below, which is changed in place: the driver holds both only once
         # a small pull to the old codewords keeps the system regular and unused codewords where they were
-        q = Quantizer(np.linalg.solve(both + 0.01 * np.eye(m * k), right + 0.01 * old).reshape(m, k, d))
+        both.flat[:: m * k + 1] += 0.01
+        new = np.linalg.solve(both, right + 0.01 * old)
+        del both
+        q = Quantizer(new.reshape(m, k, d))
     return q
 
 
